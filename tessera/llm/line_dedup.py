@@ -25,7 +25,7 @@ from tessera.llm.text import mix
 STRIP = " \t\n\x0b\x0c\r"
 #: Slots for each key of a level, and keys that a shard has on average.
 GAMMA, SHARD_KEYS = 2, 50_000
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
 def line_keys(text: str, least: int) -> list[bytes | None]:
@@ -51,7 +51,7 @@ class PerfectHash:
         levels, left = [], keys
         while len(left):
             size = GAMMA * len(left) + 1
-            slot = (mix(left + np.uint64(len(levels)) * _STEP) % np.uint64(size)).astype(np.int64)
+            slot = (mix(left + np.uint64(len(levels) * _STEP & _MASK)) % np.uint64(size)).astype(np.int64)
             single = np.bincount(slot, minlength=size) == 1
             levels.append(single)
             left = left[~single[slot]]
@@ -62,7 +62,7 @@ class PerfectHash:
         out = np.full(len(keys), -1, np.int64)
         left = np.arange(len(keys))
         for k, (level, rank) in enumerate(zip(self.levels, self.rank, strict=True)):
-            slot = (mix(keys[left] + np.uint64(k) * _STEP) % np.uint64(len(level))).astype(np.int64)
+            slot = (mix(keys[left] + np.uint64(k * _STEP & _MASK)) % np.uint64(len(level))).astype(np.int64)
             hit = level[slot]
             out[left[hit]] = rank[slot[hit]]
             left = left[~hit]
