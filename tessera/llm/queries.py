@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.line_dedup import dedup_lines
+from tessera.llm.line_quality import line_quality
 from tessera.llm.near_dup import near_duplicates
 from tessera.llm.piece_codec import piece_codec
 from tessera.llm.suffix_tree import suffix_tree_scores
@@ -41,11 +42,16 @@ def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
 
 
+def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), fold(5, 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_tree": op2_suffix_tree,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_line_dedup": op4_line_dedup,
     "op7_piece_codec": op7_piece_codec,
+    "op8_line_quality": op8_line_quality,
 }
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
