@@ -13,6 +13,7 @@ from tessera.llm.line_quality import line_quality
 from tessera.llm.near_dup import near_duplicates
 from tessera.llm.piece_codec import piece_codec
 from tessera.llm.suffix_tree import suffix_tree_scores
+from tessera.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +52,10 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_probes(_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), fold(4, 2))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_tree": op2_suffix_tree,
     "op3_near_duplicates": op3_near_duplicates,
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_piece_codec": op7_piece_codec,
     "op8_line_quality": op8_line_quality,
     "op9_fingerprints": op9_fingerprints,
+    "op10_toxicity": op10_toxicity,
 }
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
