@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.decontaminate import contaminated
 from tessera.llm.fingerprint import edit_probes
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.line_quality import line_quality
@@ -56,10 +57,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), fold(4, 2))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_tree": op2_suffix_tree,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_line_dedup": op4_line_dedup,
+    "op6_decontaminate": op6_decontaminate,
     "op7_piece_codec": op7_piece_codec,
     "op8_line_quality": op8_line_quality,
     "op9_fingerprints": op9_fingerprints,
