@@ -13,6 +13,7 @@ from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.line_quality import line_quality
 from tessera.llm.near_dup import near_duplicates
 from tessera.llm.piece_codec import piece_codec
+from tessera.llm.secret_scan import secret_spans, span_digests
 from tessera.llm.suffix_tree import suffix_tree_scores
 from tessera.llm.toxicity import toxicity
 
@@ -39,6 +40,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(secret_spans(_table(spark, sf_dir, "documents")))
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_tree": op2_suffix_tree,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_line_dedup": op4_line_dedup,
+    "op5_secrets": op5_secrets,
     "op6_decontaminate": op6_decontaminate,
     "op7_piece_codec": op7_piece_codec,
     "op8_line_quality": op8_line_quality,
