@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.decontaminate import contaminated
 from tessera.llm.fingerprint import edit_probes
+from tessera.llm.html_text import extract
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.line_quality import line_quality
 from tessera.llm.near_dup import near_duplicates
@@ -27,6 +28,10 @@ def fold(modulus: int, remainder: int, column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string")) % modulus == remainder
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_scores(_table(spark, sf_dir, "documents"), fold(7, 2))
 
@@ -67,6 +72,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_suffix_tree": op2_suffix_tree,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_line_dedup": op4_line_dedup,
