@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tessera.llm.shared import sized, written
 from tessera.llm.text import mix
@@ -110,9 +111,11 @@ def _probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": left["doc_id"][drop].astype("Int64"), "f": left["f"][drop]})
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, salts: int = 16) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, salts: int = 16, carry: bool = False) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept (text) for each row of `docs`.
 
+    With `carry` also row, a struct of all columns of `docs`.
+
     A line's key is the line without white space at both ends, A-Z in lower case. Keys of at least
     `min_chars` code points found in at least `min_docs` documents lose all their lines except
     those of the largest id that holds it. Null and empty texts are one empty line. Each row counts
@@ -122,7 +125,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     sized(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if carry else []))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +138,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(per)), per)))
             yield pa.RecordBatch.from_arrays([ids, pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["doc_id", "h", "f"])
 
-    lines = written(docs.mapInArrow(emit, "doc_id long, h long, f long"), "lines")
+    lines = written(docs.select("doc_id", "text").mapInArrow(emit, "doc_id long, h long, f long"), "lines")
     shared = lines.groupBy("h", "f").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where((F.col("n") >= min_docs) & F.col("keeper").isNotNull())
     shared = written(shared.select("h", "f", "keeper"), "shared")
     shards = max(16, shared.count() // SHARD_KEYS)
@@ -159,8 +162,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 total.append(n)
                 gone.append(dropped)
                 texts.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept"])
+            carried = [batch.column(k) for k in range(3, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string()), *carried], schema.names)
 
     drops = drops.withColumnRenamed("doc_id", "drop_id").hint("shuffle_hash")
-    both = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left").select("doc_id", "text", "drops")
-    return both.mapInArrow(keep, "doc_id long, n_lines long, n_dropped long, kept string")
+    both = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left").select("doc_id", "text", "drops", *(["row"] if carry else []))
+    schema = StructType([StructField("doc_id", LongType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("kept", StringType()), *(f for f in docs.schema if f.name == "row" and carry)])
+    return both.mapInArrow(keep, schema)

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from tessera.llm import crf
 from tessera.llm.labelled import labelled_sample
@@ -114,9 +115,11 @@ def fit_lines(texts: list[str], labels: list[int], steps: int = 60):
     return params, move, curve
 
 
-def line_quality(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", fit_rows: int = 2500, cut: float = 0.3) -> DataFrame:
+def line_quality(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", fit_rows: int = 2500, cut: float = 0.3, carry: bool = False) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of `docs`, repeated rows included.
 
+    With `carry` also row, a struct of all columns of `docs`.
+
     score is the probability of label 1; null and empty texts are one empty line and are scored as
     such. Fitted on at most `fit_rows` labelled rows outside the fold `held_out`, which may use the
     id only (null: in the training fold); without any, each score is 0.5. Texts are read whole.
@@ -133,7 +136,9 @@ def line_quality(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: s
                 base = offsets[lo]
                 raw = document_scores(params, move, *line_features(data[base : offsets[hi]], offsets[lo : hi + 1] - base))
                 score = crf.sigmoid(_logit(raw)[:, 0] * curve[0] + curve[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(score), pa.array((score >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+                own = [batch.column(k).slice(lo, hi - lo) for k in (0, 1, *range(3, batch.num_columns))]
+                yield pa.RecordBatch.from_arrays([*own[:2], pa.array(score), pa.array((score >= cut).astype(np.int32)), *own[2:]], schema.names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if carry else []))
+    schema = StructType([StructField("doc_id", LongType()), StructField("held_out", BooleanType()), StructField("score", DoubleType()), StructField("predicted", IntegerType()), *(f for f in rows.schema if f.name == "row")])
+    return rows.mapInArrow(run, schema)
