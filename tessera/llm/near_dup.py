@@ -9,10 +9,14 @@
    quarter that agrees by chance, is at most `slack` below the threshold (over five deviations);
    then the links are confirmed on the full sets.
 4. Not every pair of a bucket is needed for the components: first each member meets the bucket's
-   smallest class, then, in buckets that still hold several components, one drawn for that bucket;
-   what no such link unites is compared pair by pair, but only across components. So a bucket with
-   thousands of near copies costs a number of pairs in proportion to its members.
-5. Components are found by alternating large-star and small-star steps, all in tables.
+   smallest class, then, in buckets that still hold several components, one drawn for that bucket.
+5. Links across components that are then still missing are found exactly. A shingle is rare if at
+   most `RARE` of the classes left hold it (a Bloom filter of fixed size tells common ones; what it
+   takes for common by mistake counts as common everywhere). Two linked sets share a rare shingle,
+   or else have all of their common part in common shingles. The first are met by rare shingle, at
+   most RARE to each. The second need enough common shingles of their own, which copies with many
+   edits don't have: those drop out, and what is left meets by bucket.
+6. Components are found by alternating large-star and small-star steps, all in tables.
 """
 
 from __future__ import annotations
@@ -21,15 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import sized, written
-from tessera.llm.text import blocks, mix, signed, span_hashes, utf8, words
+from tessera.llm.text import Counts, blocks, mix, signed, span_hashes, utf8, words
 
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bits of the filter that says which sets to read again: a fixed size, 8 MB.
 _FILTER_BITS = 1 << 26
+#: Sets that may hold a shingle which counts as rare.
+RARE = 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -101,9 +107,9 @@ def _signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, bits array<long>")
 
 
-def _filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over the column id; its words are put together by key before they are sent."""
-    bit = F.explode(F.array(*(F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.lit(_FILTER_BITS)) for k in range(5)))).alias("bit")
+def _filter(ids: DataFrame, places: list[Column]) -> np.ndarray:
+    """A Bloom filter of fixed size; its words are put together by key before they are sent."""
+    bit = F.explode(F.array(*places)).alias("bit")
     word = F.shiftright("bit", 6)
     rows = ids.select(bit).groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
     table = np.zeros(_FILTER_BITS // 64, np.int64)
@@ -112,10 +118,18 @@ def _filter(ids: DataFrame) -> np.ndarray:
     return table
 
 
+def _id_places(column: str) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(_FILTER_BITS)) for k in range(5)]
+
+
+#: Shingles are hashes already: parts of them are places.
+_SHIFTS = (0, 19, 38)
+
+
 def _sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     """doc_id and set (sorted hashes) of the documents in `needed` (and of few others)."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(needed))
-    hashes = F.array(*(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(k)), F.lit(_FILTER_BITS)) for k in range(5))).alias("at")
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(needed, _id_places("id")))
+    hashes = F.array(*_id_places("doc_id")).alias("at")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -135,6 +149,60 @@ def _sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     return written(found.join(needed.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), "sets")
 
 
+def _split_sets(sets: DataFrame, rare: int) -> DataFrame:
+    """id, n (shingles), common (how many of them more than `rare` sets hold) and rare (the others)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Counts()
+        for batch in batches:
+            held.add(np.asarray(batch.column(0).flatten()))
+            for key, n in held.ready():
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+        for key, n in held.ready(last=True):
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
+    held = sets.select("set").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > rare)
+    mask = _FILTER_BITS - 1
+    places = [F.shiftrightunsigned("key", k).bitwiseAND(F.lit(mask)) for k in _SHIFTS]
+    shared = sets.sparkSession.sparkContext.broadcast(_filter(held, places))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            size = np.diff(np.asarray(batch.column(1).offsets))
+            h = np.asarray(batch.column(1).flatten())
+            common = np.ones(len(h), bool)
+            for k in _SHIFTS:
+                at = (h.view(np.uint64) >> np.uint64(k) & np.uint64(mask)).astype(np.int64)
+                common &= (table[at >> 6] >> (at & 63) & 1).astype(bool)
+            ends = np.r_[0, np.cumsum(size)]
+            number = np.diff(np.r_[0, np.cumsum(common)][ends])
+            left = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size - number)].astype(np.int32)), pa.array(h[~common]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int64)), pa.array(number.astype(np.int64)), left], ["id", "n", "common", "rare"])
+
+    return sets.select("doc_id", "set").mapInArrow(part, "id long, n long, common long, rare array<long>")
+
+
+def _missing_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that could be linked; rest: key, id and component of the buckets left."""
+    ids = rest.select("id", "component").distinct()
+    own = _split_sets(sets.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), RARE)
+    own = written(own.join(ids, "id"), "split")
+    # at most RARE sets hold one of these shingles
+    held = own.select("id", "component", F.explode("rare").alias("e")).groupBy("e").agg(F.collect_list(F.struct("component", "id")).alias("g"))
+    held = held.where("array_min(g).component < array_max(g).component")
+    met = held.select(F.explode(F.expr("flatten(transform(g, x -> transform(filter(g, y -> x.component < y.component), y -> struct(least(x.id, y.id) as a, greatest(x.id, y.id) as b))))")).alias("p")).select("p.*")
+    # linked without a rare shingle in common: both have that many common ones
+    rich = rest.join(own.where(f"100 * common >= {percent} * n").select("id", "n", "common"), "id")
+    for _ in range(2):
+        least = rich.groupBy("key").agg(F.min("n").alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "least")
+        rich = rich.join(least, "key").where(f"{100 + percent} * common >= {percent} * (n + least)").drop("least")
+    rich = written(rich, "rich")
+    other = rich.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("common").alias("fy"))
+    close = rich.join(other, "key").where(f"component < cy and {100 + percent} * least(common, fy) >= {percent} * (n + ny)")
+    return met.union(close.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"))).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component: for each node of the undirected edges (a, b) the smallest node that it reaches.
 
@@ -216,9 +284,7 @@ def near_duplicates(
             pairs = labelled.join(split.select("key", F.col("id").alias("hub"), F.col("component").alias("hub_component")), "key").where("component != hub_component")
             pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         else:
-            rest = labelled.join(split.select("key"), "key")
-            other = rest.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-            pairs = rest.withColumnRenamed("id", "a").join(other, "key").where("component < other").select("a", "b").distinct()
+            pairs = _missing_pairs(written(labelled.join(split.select("key"), "key"), "rest"), sets, percent)
         links = linked(pairs)
         if turn:
             names = found.select(F.col("id").alias("a"), F.col("component").alias("ca")), found.select(F.col("id").alias("b"), F.col("component").alias("cb"))
