@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: Each selects five tokens.
 MASKS = ("11111", "1101011", "11100101")
-#: Seed hashes of the benchmark up to which its table is broadcast; above, both sides are shuffled.
+#: Seed hashes of the benchmark up to which its table is broadcast; above, all sides are shuffled.
 BROADCAST_SEEDS = 500_000
 _GAP = r"[\x20\x09-\x0D]+"
 
@@ -41,32 +41,39 @@ def _seeds(array: str, place: str) -> str:
 
 def _placed(rows: DataFrame, array: str, place: str, keep: list[str]) -> DataFrame:
     """A row for each place of a text and mask, with the hash as `seed`."""
-    spots = rows.where(F.size(array) >= min(map(len, MASKS))).select(*keep, F.explode(F.sequence(F.lit(0), F.size(array) - min(map(len, MASKS)))).alias(place))
-    return spots.select("*", F.explode(F.expr(_seeds(array, place))).alias("seed")).where("seed is not null")
+    shortest = min(map(len, MASKS))
+    spots = rows.where(F.size(array) >= shortest).select("*", F.explode(F.sequence(F.lit(0), F.size(array) - shortest)).alias(place))
+    return spots.select(*keep, place, F.explode(F.expr(_seeds(array, place))).alias("seed")).where("seed is not null")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = 80, window: int = 13, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """A row for each document and benchmark item that it contains, clean documents have none.
 
     Columns: doc_id, item_id, item_tokens, n_matched (tokens that agree in the best alignment),
-    n_window (in the best `window` tokens of any) and n_hits. Items of fewer tokens than the
+    n_window (in the best `window` tokens of any). Items of fewer tokens than the
     shortest mask (5) are never found; items of fewer than `window` tokens must agree as a whole.
     Null texts are empty; rows with equal doc_id, or equal item_id, are taken together; rows with a
     null id are taken together as well. Without documents or items the result is empty.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col)).alias("item"))
-    seeds = _placed(items, "item", "item_place", ["item_id", "item"])
-    number = seeds.count()
+    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col)).alias("item")).where(F.size("item") >= min(map(len, MASKS)))
+    seeds = _placed(items, "item", "item_place", ["item_id"])
     texts = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("words"))
-    found = _placed(texts, "words", "place", ["doc_id", "words"])
-    hits = found.join(F.broadcast(seeds) if number <= broadcast_seeds else seeds, "seed")
     # the item's first token lies beside the document's token `shift`
-    hits = hits.withColumn("shift", F.col("place") - F.col("item_place"))
+    shift = (F.col("place") - F.col("item_place")).alias("shift")
+    if seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
+        # words stay a reference until a hit: nothing is dealt out but hits
+        hits = _placed(texts, "words", "place", ["doc_id", "words"]).join(F.broadcast(seeds), "seed").select("doc_id", "item_id", "words", shift)
+        # each of these items' tokens begins a seed, but for its last few
+        hits = hits.join(F.broadcast(items.withColumnRenamed("item_id", "i")), F.col("item_id").eqNullSafe(F.col("i")))
+    else:
+        spots = _placed(texts, "words", "place", ["doc_id"]).join(seeds, "seed").groupBy("doc_id", "item_id", shift).count()
+        spots = spots.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), "shift")
+        hits = spots.join(texts, F.col("d").eqNullSafe(F.col("doc_id"))).join(items, F.col("i").eqNullSafe(F.col("item_id")))
     beside = "transform(sequence(0, size(item) - 1), i -> if(shift + i >= 0 and get(words, shift + i) = item[i], 1, 0))"
     hits = hits.select("doc_id", "item_id", F.size("item").alias("item_tokens"), F.expr(beside).alias("same"))
     part = f"array_max(transform(sequence(0, greatest(size(same) - {window}, 0)), i -> aggregate(slice(same, i + 1, {window}), 0, (a, x) -> a + x)))"
     hits = hits.select("doc_id", "item_id", "item_tokens", F.expr("aggregate(same, 0, (a, x) -> a + x)").alias("n_matched"), F.expr(part).alias("n_window"))
-    best = hits.groupBy("doc_id", "item_id").agg(F.max("item_tokens").alias("item_tokens"), F.max("n_matched").alias("n_matched"), F.max("n_window").alias("n_window"), F.count("*").alias("n_hits"))
+    best = hits.groupBy("doc_id", "item_id").agg(F.max("item_tokens").alias("item_tokens"), F.max("n_matched").alias("n_matched"), F.max("n_window").alias("n_window"))
     whole = F.col("n_matched") * 100 >= F.col("item_tokens") * percent
     partly = (F.col("item_tokens") >= window) & (F.col("n_window") * 100 >= window * percent)
     return best.where(whole | partly)
