@@ -13,9 +13,11 @@
 5. Links across components that are then still missing are found exactly. A shingle is rare if at
    most `RARE` of the classes left hold it (a Bloom filter of fixed size tells common ones; what it
    takes for common by mistake counts as common everywhere). Two linked sets share a rare shingle,
-   or else have all of their common part in common shingles. The first are met by rare shingle, at
-   most RARE to each. The second need enough common shingles of their own, which copies with many
-   edits don't have: those drop out, and what is left meets by bucket.
+   or else have all of their overlap in common shingles. The first are met by rare shingle, at most
+   RARE to each. For the second, each bucket takes its member with the fewest rare shingles as a
+   measure: two sets overlap in no more than the lesser of their overlaps with it and the lesser of
+   their common shingles outside it. Copies with many edits can't reach the threshold so and drop
+   out; what is left meets by bucket, across components.
 6. Components are found by alternating large-star and small-star steps, all in tables.
 """
 
@@ -193,14 +195,35 @@ def _missing_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     held = held.where("array_min(g).component < array_max(g).component")
     met = held.select(F.explode(F.expr("flatten(transform(g, x -> transform(filter(g, y -> x.component < y.component), y -> struct(least(x.id, y.id) as a, greatest(x.id, y.id) as b))))")).alias("p")).select("p.*")
     # linked without a rare shingle in common: both have that many common ones
-    rich = rest.join(own.where(f"100 * common >= {percent} * n").select("id", "n", "common"), "id")
-    for _ in range(2):
-        least = rich.groupBy("key").agg(F.min("n").alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "least")
-        rich = rich.join(least, "key").where(f"{100 + percent} * common >= {percent} * (n + least)").drop("least")
-    rich = written(rich, "rich")
-    other = rich.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("common").alias("fy"))
-    close = rich.join(other, "key").where(f"component < cy and {100 + percent} * least(common, fy) >= {percent} * (n + ny)")
-    return met.union(close.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"))).distinct()
+    rich = rest.join(own.where(f"100 * common >= {percent} * n").select("id", "n", "common", "rare"), "id")
+    rich = _could_link(written(rich, "rich"), F.col("common"), percent)
+    # a bucket's member with the fewest rare shingles stands for what most of them share
+    hubs = _split(rich, F.min_by("id", F.struct(F.col("n") - F.col("common"), F.col("id"))).alias("hub"))
+    rich = written(rich.join(hubs, "key"), "rich")
+    spans = rich.select("id", "hub", "rare").distinct()
+    spans = spans.join(sets.select(F.col("doc_id").alias("id"), F.col("set").alias("x")), "id").join(sets.select(F.col("doc_id").alias("hub"), F.col("set").alias("h")), "hub")
+    inside = F.size(F.array_intersect("x", "h"))
+    spans = spans.select("id", "hub", inside.alias("inside"), F.size(F.array_except(F.array_except("x", "h"), "rare")).alias("outside"))
+    rich = _could_link(written(rich.drop("rare").join(spans, ["id", "hub"]), "rich"), F.col("inside") + F.col("outside"), percent)
+    # all of a bucket against those outside its largest component
+    largest = rich.groupBy("key", "component").agg(F.count("*").alias("c"))
+    largest = _split(largest, F.max_by("component", F.struct("c", "component")).alias("largest"))
+    minor = rich.join(largest, "key").where("component != largest")
+    other = rich.select("key", *(F.col(c).alias(f"other_{c}") for c in ("id", "component", "n", "inside", "outside")))
+    most = "least(inside, other_inside) + least(outside, other_outside)"
+    close = minor.join(other, "key").where(f"component != other_component and {100 + percent} * ({most}) >= {percent} * (n + other_n)")
+    return met.union(close.select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b"))).distinct()
+
+
+def _split(rows: DataFrame, value: Column) -> DataFrame:
+    """key and a value of the buckets that hold several components."""
+    return rows.groupBy("key").agg(value, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").drop("lo", "hi")
+
+
+def _could_link(rows: DataFrame, most: Column, percent: int) -> DataFrame:
+    """Rows of split buckets whose greatest possible overlap is enough for the bucket's smallest set."""
+    least = _split(rows, F.min("n").alias("least"))
+    return written(rows.join(least, "key").where((100 + percent) * most >= percent * (F.col("n") + F.col("least"))).drop("least"), "could")
 
 
 def components(edges: DataFrame) -> DataFrame:
