@@ -110,10 +110,10 @@ def _apart(texts: list[str]) -> list[int]:
     return out
 
 
-def fit_lexicon(texts: list[str], labels: list[int], terms: dict[str, float] | None = None, exceptions: Iterable[str] = (), least: int = 4, ratio: float = 2.0, shortest: int = 4, longest: int = 9, size: int = 4000) -> Lexicon:
+def fit_lexicon(texts: list[str], labels: list[int], terms: dict[str, float] | None = None, exceptions: Iterable[str] = (), least: int = 4, share: float = 0.01, ratio: float = 3.0, shortest: int = 4, longest: int = 9, size: int = 4000) -> Lexicon:
     """Learns terms, exception phrases and the curve; without texts only what is given is matched.
 
-    A term must be in `least` toxic documents and have a log ratio of `ratio`; a beginning of words
+    A term must be in `least` toxic documents, and in a `share` of them, and have a log ratio of `ratio`; a beginning of words
     goes if a shorter one is as good. An exception is a pair of words with a term that `least` other
     documents hold and no toxic one.
     """
@@ -130,7 +130,7 @@ def fit_lexicon(texts: list[str], labels: list[int], terms: dict[str, float] | N
         seen[y].update(own)
     n = [max(1, sum(y == k for y in labels)) for k in (0, 1)]
     weigh = lambda t: float(np.log((seen[1][t] + 0.5) / (n[1] + 1)) - np.log((seen[0][t] + 0.5) / (n[0] + 1)))
-    found = {t: w for t, c in seen[1].items() if c >= least and (w := weigh(t)) >= ratio}
+    found = {t: w for t, c in seen[1].items() if c >= max(least, share * n[1]) and (w := weigh(t)) >= ratio}
     for term in sorted(found, key=len, reverse=True):
         stem = term.rstrip()
         if any(found.get(stem[:k], -1) >= found[term] - 0.3 for k in range(shortest + 1, len(term))):
