@@ -22,27 +22,35 @@ from tessera.llm.shared import written
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier doesn't reject; empty texts are scored as any other."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return line_quality(docs, labels, fold(5, 0), carry=True).where("predicted = 1").select("row.*")
+    kept = line_quality(docs, labels, fold(5, 0), carry=True).where("predicted = 1")
+    return kept.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the lines that others share; one may be left without text."""
     found = dedup_lines(docs, carry=True)
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return found.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    return found.select(*((new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns))
+
+
+def _without(docs: DataFrame, ids: DataFrame, nulls: bool) -> DataFrame:
+    """`docs` without the rows whose doc_id is in the one column of `ids`; a null there counts if `nulls`."""
+    name = "gone"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    ids = ids.toDF(name).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(name)) if nulls else F.col("doc_id") == F.col(name), "left_anti")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; texts without a word all stay."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """Of each group of near duplicates the document with the smallest id; texts without a word and rows without an id all stay."""
+    return _without(docs, near_duplicates(docs).where("not kept").select("doc_id"), False)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark; rows without an id stay or go together."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = contaminated(docs, items).select(F.col("doc_id").alias("found")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("found"), "left_anti")
+    return _without(docs, contaminated(docs, items).select("doc_id"), True)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

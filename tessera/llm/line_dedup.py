@@ -26,6 +26,8 @@ from tessera.llm.text import mix
 STRIP = " \t\n\x0b\x0c\r"
 #: Slots for each key of a level, and keys that a shard has on average.
 GAMMA, SHARD_KEYS = 2, 50_000
+#: Lines that probe a shard at a time, on average.
+PROBES = 50_000
 _STEP, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -114,7 +116,7 @@ def _probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, salts: int = 16, carry: bool = False) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept (text) for each row of `docs`.
 
-    With `carry` also row, a struct of all columns of `docs`.
+    With `carry` also row, a struct of all columns of `docs` but the text.
 
     A line's key is the line without white space at both ends, A-Z in lower case. Keys of at least
     `min_chars` code points found in at least `min_docs` documents lose all their lines except
@@ -125,7 +127,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     sized(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if carry else []))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*(c for c in docs.columns if c != text_col)).alias("row")] if carry else []))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,6 +145,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = written(shared.select("h", "f", "keeper"), "shared")
     shards = max(16, shared.count() // SHARD_KEYS)
     tables = written(_shards(shared, shards), "shards")
+    # so many that a shard's lines with one salt stay few, however many lines share few keys
+    salts = max(salts, lines.count() // (shards * PROBES) + 1)
     salted = tables.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     probes = lines.withColumn("shard", _shard(shards)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     probes = probes.groupBy("shard", "salt").cogroup(salted.groupBy("shard", "salt"))

@@ -118,7 +118,7 @@ def fit_lines(texts: list[str], labels: list[int], steps: int = 60):
 def line_quality(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", fit_rows: int = 2500, cut: float = 0.3, carry: bool = False) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of `docs`, repeated rows included.
 
-    With `carry` also row, a struct of all columns of `docs`.
+    With `carry` also text, and row, a struct of all other columns of `docs`.
 
     score is the probability of label 1; null and empty texts are one empty line and are scored as
     such. Fitted on at most `fit_rows` labelled rows outside the fold `held_out`, which may use the
@@ -136,9 +136,9 @@ def line_quality(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: s
                 base = offsets[lo]
                 raw = document_scores(params, move, *line_features(data[base : offsets[hi]], offsets[lo : hi + 1] - base))
                 score = crf.sigmoid(_logit(raw)[:, 0] * curve[0] + curve[1])
-                own = [batch.column(k).slice(lo, hi - lo) for k in (0, 1, *range(3, batch.num_columns))]
+                own = [batch.column(k).slice(lo, hi - lo) for k in (0, 1, *(range(2, batch.num_columns) if carry else ()))]
                 yield pa.RecordBatch.from_arrays([*own[:2], pa.array(score), pa.array((score >= cut).astype(np.int32)), *own[2:]], schema.names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if carry else []))
-    schema = StructType([StructField("doc_id", LongType()), StructField("held_out", BooleanType()), StructField("score", DoubleType()), StructField("predicted", IntegerType()), *(f for f in rows.schema if f.name == "row")])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"), *([F.struct(*(c for c in docs.columns if c != text_col)).alias("row")] if carry else []))
+    schema = StructType([StructField("doc_id", LongType()), StructField("held_out", BooleanType()), StructField("score", DoubleType()), StructField("predicted", IntegerType()), *(f for f in rows.schema if carry and f.name in ("text", "row"))])
     return rows.mapInArrow(run, schema)
