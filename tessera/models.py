@@ -78,3 +78,9 @@ def embedded(texts: DataFrame, size: int = 64, column: str = "text") -> DataFram
 def messages(system: str, prompt: Column) -> Column:
     """A chat of a system part and a user part."""
     return F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), prompt.alias("content")))
+
+
+def logit_bias(favoured: list[list[int]], avoided: list[list[int]], up: int = 7, down: int = -100) -> dict[int, int]:
+    """Bias by token id: all tokens of favoured words up; avoided words down, but only those of one token."""
+    bias = {token: up for ids in favoured for token in ids}
+    return bias | {ids[0]: down for ids in avoided if len(ids) == 1}

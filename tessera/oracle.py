@@ -196,6 +196,7 @@ SQL: dict[str, str] = {
     "nonempty_fallback": f"SELECT doc_id, md5(CASE WHEN {_u("'empty'", 'doc_id')} < 0.2 THEN text ELSE '# ' || text END) AS text_md5 FROM documents",
     "think_strip": "SELECT doc_id, trim(trim(string_split(chr(10) || ' \"' || text || '\"' || chr(10) || 'This rewrite keeps the meaning.', 'This rewrite')[1], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\"') AS text FROM documents",
     "punctuation_collapse": "SELECT doc_id, regexp_replace(replace(text, ' ', '!?'), '([.?!,]){2,}', '\\1', 'g') AS text FROM documents",
+    "chat_messages": "SELECT doc_id, 0 AS turn, 'system' AS role, md5('You rewrite texts.') AS content_md5 FROM documents UNION ALL SELECT doc_id, 1, 'user', md5('Rewrite: ' || text) FROM documents",
     "word_count_log": f"WITH {_BUDGET}, d AS (SELECT len({_w()}) - target AS d FROM budget) SELECT round(avg(abs(d)), 6) AS mean_abs, round(stddev_pop(abs(d)), 6) AS std_abs, round(avg(d), 6) AS mean_diff, round(stddev_pop(d), 6) AS std_diff FROM d",
     "word_chunks": f"WITH {_words_chunked(100, 80, 'c')} SELECT doc_id, chunk_no::INT AS chunk_no, len(chunk) AS n_words, md5(array_to_string(chunk, ' ')) AS chunk_md5 FROM c",
     "char_chunks": f"WITH {_CHUNKS} SELECT doc_id, chunk_no::INT AS chunk_no, length(chunk)::INT AS size, md5(chunk) AS chunk_md5 FROM chunks",

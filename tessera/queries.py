@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera import oracle
+from tessera import models, oracle
 from tessera.functions import redact, text
 from tessera.functions.vectors import unit
 from tessera.operators import choice, divergence, likelihood, moments, neighbours, ngrams, sampling, votes
@@ -227,6 +227,14 @@ def punctuation_collapse(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", text.collapsed_marks(F.replace("text", F.lit(" "), F.lit("!?"))).alias("text"))
 
 
+@_query
+def chat_messages(spark, sf_dir):
+    """The turns of a chat that asks for another wording of each text."""
+    turns = models.messages("You rewrite texts.", F.concat(F.lit("Rewrite: "), "text"))
+    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(turns).alias("turn", "m"))
+    return rows.select("doc_id", "turn", "m.role", F.md5("m.content").alias("content_md5"))
+
+
 @_query
 def generate_echo(spark, sf_dir):
     """Generation end to end with the model that repeats its prompt."""

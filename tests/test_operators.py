@@ -11,7 +11,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.models import embedded, generated
+from tessera.models import embedded, generated, logit_bias
 from tessera.operators import choice, divergence, likelihood, moments, neighbours, ngrams, ranking, sampling, votes
 from tessera.plans import evaluate, generate, refine
 
@@ -205,6 +205,10 @@ def test_models(spark):
     assert np.linalg.norm(rows[0]["vector"]) == pytest.approx(1) and not any(rows[1]["vector"])
 
 
+def test_logit_bias():
+    assert logit_bias([[1, 2], [3]], [[3], [4, 5], [6]]) == {1: 7, 2: 7, 3: -100, 6: -100}
+
+
 def test_average_row(spark):
     runs = spark.createDataFrame([(0, 0.5), (1, 0.25)], "run int, fid double")
     assert {r["run"]: r["fid"] for r in evaluate.averaged(runs).collect()} == {"0": 0.5, "1": 0.25, "avg": 0.375}
