@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import written
+
 
 def histogram(p: DataFrame, q: DataFrame, bins: int, label: str = "label") -> DataFrame:
     """bin, p and q: shares of both sides in each of `bins` clusters, 0 where a side has none."""
@@ -13,7 +15,9 @@ def histogram(p: DataFrame, q: DataFrame, bins: int, label: str = "label") -> Da
     both = every.join(side(p, "n_p"), "bin", "left").join(side(q, "n_q"), "bin", "left").fillna(0)
     # one row per cluster
     total = both.agg(F.sum("n_p").alias("t_p"), F.sum("n_q").alias("t_q"))
-    return both.join(F.broadcast(total)).select("bin", (F.col("n_p") / F.col("t_p")).alias("p"), (F.col("n_q") / F.col("t_q")).alias("q"))
+    shares = both.join(F.broadcast(total)).select("bin", (F.col("n_p") / F.col("t_p")).alias("p"), (F.col("n_q") / F.col("t_q")).alias("q"))
+    # small, and read several times
+    return written(shares, "histogram")
 
 
 def _filled(name: str) -> Column:
