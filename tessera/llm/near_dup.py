@@ -205,13 +205,14 @@ def _missing_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     inside = F.size(F.array_intersect("x", "h"))
     spans = spans.select("id", "hub", inside.alias("inside"), F.size(F.array_except(F.array_except("x", "h"), "rare")).alias("outside"))
     rich = _could_link(written(rich.drop("rare").join(spans, ["id", "hub"]), "rich"), F.col("inside") + F.col("outside"), percent)
-    # all of a bucket against those outside its largest component
+    # all of a bucket against those outside its largest component; a pair meets in the first bucket that both still have
+    rich = written(rich.join(rich.groupBy("id").agg(F.collect_set("key").alias("keys")), "id"), "rich")
     largest = rich.groupBy("key", "component").agg(F.count("*").alias("c"))
     largest = _split(largest, F.max_by("component", F.struct("c", "component")).alias("largest"))
     minor = rich.join(largest, "key").where("component != largest")
-    other = rich.select("key", *(F.col(c).alias(f"other_{c}") for c in ("id", "component", "n", "inside", "outside")))
+    other = rich.select("key", *(F.col(c).alias(f"other_{c}") for c in ("id", "component", "n", "inside", "outside", "keys")))
     most = "least(inside, other_inside) + least(outside, other_outside)"
-    close = minor.join(other, "key").where(f"component != other_component and {100 + percent} * ({most}) >= {percent} * (n + other_n)")
+    close = minor.join(other, "key").where(f"component != other_component and {100 + percent} * ({most}) >= {percent} * (n + other_n) and key = array_min(array_intersect(keys, other_keys))")
     return met.union(close.select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b"))).distinct()
 
 
