@@ -100,7 +100,10 @@ def fit_lines(texts: list[str], labels: list[int], steps: int = 60):
         x = line_features(np.empty(0, np.uint8), np.zeros(2, np.int64))[0]
         return np.zeros((x.shape[1], 2)), np.zeros((2, 2)), np.zeros(2)
     data, offsets = utf8(pa.array(texts, pa.large_string()))
-    x, first, per, chars = line_features(data, offsets)
+    # in blocks, so that the arrays by byte stay small
+    parts = [line_features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in blocks(offsets)]
+    x, per, chars = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3))
+    first = np.r_[0, np.cumsum(per)[:-1]]
     y_doc = np.array(labels)
     y = np.repeat(y_doc, per)
     go = lambda y, steps: crf.fit(lambda p: x @ p, lambda r: x.T @ r, np.zeros((x.shape[1], 2)), 2, y, first, per, steps, 1e-4, rate=0.2)
