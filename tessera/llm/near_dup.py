@@ -9,7 +9,7 @@
    quarter that agrees by chance, is at most `slack` below the threshold (over five deviations);
    then the links are confirmed on the full sets.
 4. Not every pair of a bucket is needed for the components: first each member meets the bucket's
-   smallest class, then, in buckets that still hold several components, one drawn for that bucket.
+   smallest class, then, in buckets that still hold several components, one drawn from the largest.
 5. Links across components that are then still missing are found exactly. A shingle is rare if at
    most `RARE` of the classes left hold it (a Bloom filter of fixed size tells common ones; what it
    takes for common by mistake counts as common everywhere). Two linked sets share a rare shingle,
@@ -302,8 +302,9 @@ def near_duplicates(
     found = needed.select("id", F.col("id").alias("component"))
     for turn in range(3):
         labelled = members.join(found, "id") if turn else members.withColumn("component", F.col("id"))
-        hub = F.min_by(F.struct("id", "component"), "id" if turn == 0 else F.xxhash64("id", "key"))
-        split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), hub.alias("hub")).where("lo < hi").select("key", "hub.*")
+        # a member of the bucket's largest component, so that only the other members meet it
+        sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("c"), F.min_by("id", F.xxhash64("id", "key")).alias("id"))
+        split = _split(sizes, F.max_by(F.struct("id", "component"), F.struct("c", -F.col("component"))).alias("hub")).select("key", "hub.*")
         if turn < 2:
             pairs = labelled.join(split.select("key", F.col("id").alias("hub"), F.col("component").alias("hub_component")), "key").where("component != hub_component")
             pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
