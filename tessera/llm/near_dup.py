@@ -14,8 +14,8 @@
    most `RARE` of the classes left hold it (a Bloom filter of fixed size tells common ones; what it
    takes for common by mistake counts as common everywhere). Two linked sets share a rare shingle,
    or else have all of their overlap in common shingles. The first are met by rare shingle, at most
-   RARE to each. For the second, each bucket takes its member with the fewest rare shingles as a
-   measure: two sets overlap in no more than the lesser of their overlaps with it and the lesser of
+   RARE to each. For the second, a set with few rare shingles that members of a bucket have met is
+   a measure: two sets overlap in no more than the lesser of their overlaps with it and the lesser of
    their common shingles outside it. Copies with many edits can't reach the threshold so and drop
    out; what is left meets by bucket, across components.
 6. Components are found by alternating large-star and small-star steps, all in tables.
@@ -197,8 +197,10 @@ def _missing_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # linked without a rare shingle in common: both have that many common ones
     rich = rest.join(own.where(f"100 * common >= {percent} * n").select("id", "n", "common", "rare"), "id")
     rich = _could_link(written(rich, "rich"), F.col("common"), percent)
-    # a bucket's member with the fewest rare shingles stands for what most of them share
-    hubs = _split(rich, F.min_by("id", F.struct(F.col("n") - F.col("common"), F.col("id"))).alias("hub"))
+    # the set with the fewest rare shingles that any member of a bucket has met stands for what most share
+    best = F.min(F.struct((F.col("n") - F.col("common")).alias("rare"), (-F.col("common")).alias("common"), F.col("id"))).alias("best")
+    met_by = rich.join(rich.groupBy("key").agg(best), "key").groupBy("id").agg(F.min("best").alias("best"))
+    hubs = _split(rich.select("key", "id", "component").join(met_by, "id"), F.min("best").alias("best")).select("key", F.col("best.id").alias("hub"))
     rich = written(rich.join(hubs, "key"), "rich")
     spans = rich.select("id", "hub", "rare").distinct()
     spans = spans.join(sets.select(F.col("doc_id").alias("id"), F.col("set").alias("x")), "id").join(sets.select(F.col("doc_id").alias("hub"), F.col("set").alias("h")), "hub")
