@@ -14,7 +14,7 @@
    most `RARE` of the classes left hold it (a Bloom filter of fixed size tells common ones; what it
    takes for common by mistake counts as common everywhere). Two linked sets share a rare shingle,
    or else have all of their overlap in common shingles. The first are met by rare shingle, at most
-   RARE to each. For the second, a set with few rare shingles that members of a bucket have met is
+   RARE to each, if both keep enough shingles without those that no other set holds. For the second, a set with few rare shingles that members of a bucket have met is
    a measure: two sets overlap in no more than the lesser of their overlaps with it and the lesser of
    their common shingles outside it. Copies with many edits can't reach the threshold so and drop
    out; what is left meets by bucket, across components.
@@ -190,10 +190,15 @@ def _missing_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ids = rest.select("id", "component").distinct()
     own = _split_sets(sets.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), RARE)
     own = written(own.join(ids, "id"), "split")
+    # a shingle that no other of these sets holds is in no overlap
+    alone = own.select("id", F.explode("rare").alias("e")).groupBy("e").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+    alone = alone.groupBy("id").agg(F.count("*").alias("alone"))
+    reach = (F.col("n") - F.coalesce("alone", F.lit(0))).alias("reach")
+    held = own.join(alone, "id", "left").select("component", "id", "n", reach, F.explode("rare").alias("e")).select("e", F.struct("component", "id", "n", "reach").alias("x"))
     # at most RARE sets hold one of these shingles
-    held = own.select("id", "component", F.explode("rare").alias("e")).groupBy("e").agg(F.collect_list(F.struct("component", "id")).alias("g"))
-    held = held.where("array_min(g).component < array_max(g).component")
-    met = held.select(F.explode(F.expr("flatten(transform(g, x -> transform(filter(g, y -> x.component < y.component), y -> struct(least(x.id, y.id) as a, greatest(x.id, y.id) as b))))")).alias("p")).select("p.*")
+    held = held.where(f"100 * x.reach >= {percent} * x.n").groupBy("e").agg(F.collect_list("x").alias("g")).where("array_min(g).component < array_max(g).component")
+    enough = f"x.component < y.component and {100 + percent} * least(x.reach, y.reach) >= {percent} * (x.n + y.n)"
+    met = held.select(F.explode(F.expr(f"flatten(transform(g, x -> transform(filter(g, y -> {enough}), y -> struct(least(x.id, y.id) as a, greatest(x.id, y.id) as b))))")).alias("p")).select("p.*")
     # linked without a rare shingle in common: both have that many common ones
     rich = rest.join(own.where(f"100 * common >= {percent} * n").select("id", "n", "common", "rare"), "id")
     rich = _could_link(written(rich, "rich"), F.col("common"), percent)
