@@ -1,10 +1,9 @@
 """Probabilistic suffix tree over words, for scoring texts.
 
-A string of words is frequent if it makes up at least `min_share` of all tokens, so that each length
-has at most 1 / min_share frequent strings: that bounds everything that is broadcast. A context
-(suffix state) of one or more words is retained if its next-word distribution diverges from that of
-its parent, the context without its first word: N(s) * KL(s || parent) must exceed a description
-length of `penalty` * ln(N) for each next word stored. In a retained state
+A string of words is counted if it occurs at least `min_count` times, at any size of the input. A
+context (suffix state) of one or more words is retained if its next-word distribution diverges from
+that of its parent, the context without its first word: N(s) * KL(s || parent) must exceed a
+description length of `penalty` * ln(N) for each next word stored. In a retained state
 
     P(w | s) = lambda(s) * c(sw) / c(s) + (1 - lambda(s) * M(s)) * P(w | parent(s))
 
@@ -12,18 +11,25 @@ with lambda(s) = c(s) / (c(s) + smoothing), and M(s) the part of c(s) that is st
 one over all words. The root is the add-one estimate (c + 1) / (N + V + 1), whose last part belongs
 to all unknown words together. A text is scored by the longest retained suffix at each position.
 
-Words that make up at least `word_share` of all tokens are looked up in a broadcast table of at most
-1 / word_share rows; rarer words are counted and joined by key, and none of those can be hot.
+Counts, states and stored strings are tables by key, fitted by joins. As a product, P(w | s) is the
+root's part, what each retained context leaves to its parent, and for a stored string its P over
+what was left to it; so each string of a text adds its own logarithm, and a text is scored by one
+join of its strings with those of the tree. Words that make up at least `word_share` of all tokens,
+and longer strings of at least `min_share`, are looked up in broadcast tables of at most 1 / share
+rows for each length, so that none of those joined by key is hot. A Bloom filter of fixed size keeps
+strings that the tree lacks from being sent; what it lets through is settled by the join.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import sized, written
@@ -31,6 +37,10 @@ from tessera.llm.text import Counts, blocks, mix, signed, span_hashes, utf8, wor
 
 #: Keys of the end of a text, and of its start, which is a context only.
 END, START = 0x1D0C, 0x57A7
+#: Bits of the filter of strings, a fixed size of 16 MB; strings' keys are hashes, parts of which are places.
+_FILTER_BITS, _SHIFTS = 1 << 27, (0, 32)
+#: Strings that a task holds before it sends partial counts.
+_HELD = 1_500_000
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -56,24 +66,36 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _longer(key: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The key of a string from that of all but its last word and the number of the last."""
+    """The key of a string from that of all but its last word and the key of the last."""
     return signed(mix(key.view(np.uint64) * _A + word.astype(np.uint64) * _B))
 
 
-def _key_at(ids: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+def _key_at(seq: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """The key of the `length` words that end at each place."""
-    key = ids[at - length + 1]
+    key = seq[at - length + 1]
     for k in range(length - 2, -1, -1):
-        key = _longer(key, ids[at - k])
+        key = _longer(key, seq[at - k])
     return key
 
 
-def _key_of(table: np.ndarray) -> np.ndarray:
-    """The key of each row of numbers of words."""
-    key = np.ascontiguousarray(table[:, 0])
-    for k in range(1, table.shape[1]):
-        key = _longer(key, table[:, k])
-    return key
+def _filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size; its words are put together by key before they are sent."""
+    mask = F.lit(_FILTER_BITS - 1)
+    bit = F.explode(F.array(*(F.shiftrightunsigned("key", k).bitwiseAND(mask) for k in _SHIFTS))).alias("bit")
+    word = F.shiftright("bit", 6)
+    rows = keys.select(bit).groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    table = np.zeros(_FILTER_BITS // 64, np.int64)
+    if rows.num_rows:
+        table[np.asarray(rows.column(0).combine_chunks())] = np.asarray(rows.column(1).combine_chunks())
+    return table
+
+
+def _may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    hit = np.ones(len(keys), bool)
+    for k in _SHIFTS:
+        at = (keys.view(np.uint64) >> np.uint64(k) & np.uint64(_FILTER_BITS - 1)).astype(np.int64)
+        hit &= (table[at >> 6] >> (at & 63) & 1).astype(bool)
+    return hit
 
 
 def _counted(docs: DataFrame, keys_of) -> DataFrame:
@@ -95,19 +117,80 @@ def _counted(docs: DataFrame, keys_of) -> DataFrame:
     return docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _frequent(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of what occurs `least` times: few, by the choice of `least`."""
-    rows = counts.where(F.col("n") >= least).select("key", "n").toArrow()
-    key, n = (np.asarray(rows.column(i).combine_chunks()).astype(np.int64) for i in (0, 1))
+def _strings(docs: DataFrame, length: int, shared, least: int) -> DataFrame:
+    """key, context, word and n of the strings of `length` words that occur `least` times."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, held, size = shared.value, [], 0
+
+        def added() -> list[np.ndarray]:
+            key, context, word, n = (np.concatenate(c) for c in zip(*held))
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            return [key[first], context[order[first]], word[order[first]], np.add.reduceat(n[order], first)]
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(held[0][0]), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 200_000]) for c in held[0][1:]], ["context", "word", "n"])
+
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            for lo, hi in blocks(offsets):
+                base = offsets[lo]
+                seq, doc, first = _sequence(data[base : offsets[hi]], offsets[lo : hi + 1] - base)
+                # both the head and the tail of a string occur as often as the string
+                at = np.flatnonzero(np.arange(len(seq)) - first[doc] >= length - 1)
+                at = at[_may_hold(table, _key_at(seq, at, length - 1))]
+                context = _key_at(seq, at - 1, length - 1)
+                own = _may_hold(table, context)
+                at, context = at[own], context[own]
+                key, place, n = np.unique(_longer(context, seq[at]), return_index=True, return_counts=True)
+                held.append([key, context[place], seq[at[place]], n])
+                size += len(key)
+                if size > 2 * _HELD:
+                    held = [added()]
+                    size = len(held[0][0])
+                    if size > _HELD:
+                        yield from sent()
+                        held, size = [], 0
+        if size:
+            held = [added()]
+            yield from sent()
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, word = (np.asarray(batch.column(i)) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(_longer(context, word)), *batch.columns], ["key", "context", "word", "n"])
+
+    counts = docs.select("text").mapInArrow(count, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
+    return counts.where(F.col("n") >= least).mapInArrow(keyed, "key long, context long, word long, n long")
+
+
+def _sorted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of a table of two columns by key: few rows, by the choice of a share."""
+    table = rows.toArrow()
+    key, value = (np.asarray(table.column(i).combine_chunks()) for i in (0, 1))
     order = np.argsort(key)
-    return key[order], n[order]
+    return key[order], value[order]
+
+
+def _freed(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more, and lets Spark drop the shuffles behind them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for table in tables:
+        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 class Tree:
-    """Root probabilities of frequent words, and the retained contexts of each length.
+    """Root probabilities of frequent words, and the frequent strings of the retained contexts of each length.
 
     contexts[k]: sorted keys of contexts of k + 1 words, and what each leaves to its parent;
-    strings[k]: sorted keys of context and next word, and the probability stored for that.
+    strings[k]: sorted keys of context and next word, and P over what the context leaves to it.
     """
 
     def __init__(self, words_: np.ndarray, root: np.ndarray):
@@ -115,94 +198,86 @@ class Tree:
         self.contexts: list[tuple[np.ndarray, np.ndarray]] = []
         self.strings: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def step(self, level: int, p: np.ndarray, prior: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Probabilities in the contexts of `level` words, from p in their parents."""
-        (keys, left), (strings, share) = self.contexts[level - 1], self.strings[level - 1]
-        state = _find(keys, prior)
-        hit = np.flatnonzero(state >= 0)
-        stored = _find(strings, _longer(prior[hit], word[hit]))
-        out = p.copy()
-        out[hit] = left[state[hit]] * p[hit]
-        found = hit[stored >= 0]
-        out[found] += share[stored[stored >= 0]]
-        return out
-
-    def probability(self, ids: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """P of each position; that of a rare word (ids < 0) still lacks its root probability."""
+    def probability(self, ids: np.ndarray, doc: np.ndarray, first: np.ndarray, seq: np.ndarray | None = None) -> np.ndarray:
+        """P of each position by what is frequent; that of a rare word (ids < 0) still lacks its root probability.
+
+        seq has the keys of the words; without it, those of rare words count as unknown.
+        """
+        if seq is None:
+            seq = np.where(ids >= 0, self.words[ids] if len(self.words) else 0, 0)
         p = np.ones(len(ids))
         p[ids >= 0] = self.root[ids[ids >= 0]] if len(self.root) else 1.0
         since = np.arange(len(ids)) - first[doc]
-        for level in range(1, len(self.contexts) + 1):
-            fit = since >= level
-            for k in range(1, level + 1):
-                fit[k:] &= ids[:-k] >= 0
-            at = np.flatnonzero(fit)
-            p[at] = self.step(level, p[at], _key_at(ids, at - 1, level), ids[at])
+        for level, ((keys, left), (strings, ratio)) in enumerate(zip(self.contexts, self.strings), 1):
+            at = np.flatnonzero(since >= level)
+            prior = _key_at(seq, at - 1, level)
+            state, stored = _find(keys, prior), _find(strings, _longer(prior, seq[at]))
+            p[at[state >= 0]] *= left[state[state >= 0]]
+            p[at[stored >= 0]] *= ratio[stored[stored >= 0]]
         return p
 
 
-def fit(train: DataFrame, word_share: float, min_share: float, smoothing: float, penalty: float, depth: int) -> tuple[Tree, DataFrame, int, int]:
-    """The tree, the counts of all words (key, n), N and V, from the column text of `train`."""
-    context = train.sparkSession.sparkContext
+def fit(train: DataFrame, word_share: float, min_share: float, smoothing: float, penalty: float, depth: int, min_count: int = 2) -> tuple[Tree, DataFrame, int, int]:
+    """What is frequent of the tree, a table of the rest, N and V, from the column text of `train`.
+
+    The table has key, known, base and score: what an occurrence of the word or string adds to n_known,
+    and to the logarithms of its text's probabilities; the root's last part, 1 / (N + V + 1), is left out.
+    """
+    spark = train.sparkSession
     counts = written(_counted(train, lambda seq, doc, first: seq).where(F.col("key") != START), "words")
     total = counts.agg(F.sum("n"), F.count("*")).first()
     n, v = int(total[0] or 0), int(total[1])
-    keys, c = _frequent(counts, max(2, int(np.ceil(word_share * n))))
+    often, least = (max(2, int(np.ceil(share * n))) for share in (word_share, min_share))
+    keys, c = _sorted(counts.where(F.col("n") >= often).select("key", "n"))
     starts = counts.where(F.col("key") == END).select("n").collect()
-    keys, c = np.append(keys, START), np.append(c, starts[0][0] if starts else 0)
+    texts = starts[0][0] if starts else 0
+    keys, c = np.append(keys, START), np.append(c, texts)
     keys, c = keys[(order := np.argsort(keys))], c[order]
     tree = Tree(keys, (c + 1) / (n + v + 1))
-    least = max(2, int(np.ceil(min_share * n)))
-    table, table_n = np.flatnonzero(c >= least)[:, None], c[c >= least]
+    known = F.log10(F.col("n") + 1.0)
+    parts = [counts.where(F.col("n") < often).select("key", F.lit(1).alias("known"), known.alias("base"), known.alias("score"))]
+    rest = lambda rows, factor: rows.select("key", F.lit(0).alias("known"), F.lit(0.0).alias("base"), F.log10(factor).alias("score"))
+    shorter = counts.unionByName(spark.createDataFrame([(START, texts)], "key long, n long")).where(F.col("n") >= min_count).withColumn("tail", F.lit(0).cast("long"))
+    parents = counts.select(F.col("key").alias("word"), F.col("key").alias("end"), ((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("parent"))
     for length in range(2, depth + 2):
-        order = np.argsort(_key_of(table))
-        table, table_n = table[order], table_n[order]
-        shared = context.broadcast((tree.words, _key_of(table)))
-
-        def strings(seq, doc, first, length=length, shared=shared):
-            # both the head and the tail of a frequent string are frequent
-            words_, shorter = shared.value
-            ids = _find(words_, seq)
-            fit = np.arange(len(ids)) - first[doc] >= length - 1
-            for k in range(length):
-                fit[k:] &= ids[: len(ids) - k] >= 0
-            at = np.flatnonzero(fit)
-            at = at[_find(shorter, _key_at(ids, at, length - 1)) >= 0]
-            head = _find(shorter, _key_at(ids, at - 1, length - 1))
-            return head[head >= 0] << 32 | ids[at[head >= 0]]
-
-        key, string_n = _frequent(_counted(train, strings), least)
-        if not len(key):
+        shared = spark.sparkContext.broadcast(_filter(shorter))
+        heads = shorter.select(F.col("key").alias("context"), F.col("n").alias("total"), "tail")
+        on = ["word"] if length == 2 else ["tail", "word"]
+        share = F.col("n") / F.col("total")
+        # tail: the context without its first word; end: the string without its first word
+        found = written(_strings(train, length, shared, min_count).join(heads, "context").join(parents, on).select("key", "context", "word", "n", "total", "end", "parent"), "found")
+        if length > 2:
+            _freed(spark, level)
+        held = found.withColumn("share", share).groupBy("context").agg(
+            F.max("total").alias("n"),
+            F.count("*").alias("size"),
+            F.least(F.sum("share"), F.lit(1.0)).alias("mass"),
+            F.sum("parent").alias("parent_mass"),
+            F.sum(F.col("n") * F.log(F.col("share") / F.col("parent"))).alias("gain"),
+        )
+        other = 1 - F.col("mass")
+        gain = F.col("gain") + F.when(other > 1e-12, F.col("n") * other * F.log(F.greatest(other, F.lit(1e-12)) / F.greatest(1 - F.col("parent_mass"), F.lit(1e-12)))).otherwise(0.0)
+        weight = F.col("n") / (F.col("n") + F.lit(smoothing))
+        kept = held.where(gain > penalty * float(np.log(max(n, 2))) * F.col("size"))
+        kept = written(kept.select(F.col("context").alias("key"), "n", weight.alias("weight"), (1 - weight * F.col("mass")).alias("left")), "contexts")
+        level = found.join(kept.select(F.col("key").alias("context"), "weight", "left"), "context", "left" if length <= depth else "inner")
+        left = F.col("left") * F.col("parent")
+        p = F.coalesce(left + F.col("weight") * share, F.col("parent"))
+        # after the last length, only what is stored is read again
+        more = [F.col(c) for c in ("context", "word", "end")] + [p.alias("p")] if length <= depth else []
+        level = written(level.select("key", "n", (p / left).alias("ratio"), *more), "level")
+        _freed(spark, found)
+        common = (F.col("n") >= often) | (F.col("key") == START) if length == 2 else F.col("n") >= least
+        stored = level.where(F.col("ratio").isNotNull())
+        tree.contexts.append(_sorted(kept.where(common).select("key", "left")))
+        tree.strings.append(_sorted(stored.where(F.col("n") >= least).select("key", "ratio")))
+        parts += [rest(kept.where(~common), F.col("left")), written(rest(stored.where(F.col("n") < least), F.col("ratio")).select("key", "score"), "rest").select("key", F.lit(0).alias("known"), F.lit(0.0).alias("base"), "score")]
+        if length > depth:
+            _freed(spark, level)
             break
-        _retain(tree, table, table_n, key >> 32, key & 0xFFFFFFFF, string_n, n, smoothing, penalty)
-        table, table_n = np.concatenate([table[key >> 32], (key & 0xFFFFFFFF)[:, None]], 1), string_n
-    return tree, counts, n, v
-
-
-def _retain(tree: Tree, table, table_n, head, word, c, n: int, smoothing: float, penalty: float) -> None:
-    """Adds the contexts (rows `head` of `table`) that differ from their parents enough."""
-    length = table.shape[1]
-    parent = tree.root[word].copy()
-    for level in range(1, length):
-        parent = tree.step(level, parent, _key_of(table[head][:, length - level :]), word)
-    total = np.maximum(table_n, np.bincount(head, c, len(table)))
-    size = np.bincount(head, minlength=len(table))
-    p = c / total[head]
-    rest = np.clip(1 - np.bincount(head, p, len(table)), 0, 1)
-    parent_rest = np.clip(1 - np.bincount(head, parent, len(table)), 1e-12, 1)
-    gain = np.bincount(head, c * np.log(p / parent), len(table))
-    gain += np.where(rest > 1e-12, total * rest * np.log(np.maximum(rest, 1e-12) / parent_rest), 0.0)
-    kept = (size > 0) & (gain > penalty * np.log(max(n, 2)) * size)
-    weight = total / (total + smoothing)
-    left = 1 - weight * np.bincount(head, p, len(table))
-    keys = _key_of(table)
-    rows = np.flatnonzero(kept)
-    rows = rows[np.argsort(keys[rows])]
-    tree.contexts.append((keys[rows], left[rows]))
-    at = np.flatnonzero(kept[head])
-    strings = _longer(keys[head[at]], word[at])
-    order = np.argsort(strings)
-    tree.strings.append((strings[order], (weight[head] * p)[at][order]))
+        shorter = level.select("key", "n", F.col("end").alias("tail"))
+        parents = level.select(F.col("context").alias("tail"), "word", F.col("key").alias("end"), F.col("p").alias("parent"))
+    return tree, reduce(DataFrame.unionByName, parts), n, v
 
 
 def suffix_tree_scores(
@@ -215,6 +290,7 @@ def suffix_tree_scores(
     smoothing: float = 4.0,
     penalty: float = 0.5,
     depth: int = 2,
+    min_count: int = 2,
 ) -> DataFrame:
     """Scores every text with a suffix tree learnt from the rows where `held_out` is not true.
 
@@ -226,12 +302,13 @@ def suffix_tree_scores(
     spark = docs.sparkSession
     sized(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    tree, counts, n, v = fit(rows.where(~F.col("held_out")), word_share, min_share, smoothing, penalty, depth)
-    shared = spark.sparkContext.broadcast(tree)
+    tree, rest, n, v = fit(rows.where(~F.col("held_out")), word_share, min_share, smoothing, penalty, depth, min_count)
+    shared = spark.sparkContext.broadcast((tree, _filter(rest.where("known = 0"))))
+    unit = float(np.log10(n + v + 1))
     names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail", "tail_n"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
+        tree, table = shared.value
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
             data, offsets = utf8(batch.column(2))
@@ -240,17 +317,26 @@ def suffix_tree_scores(
                 seq, doc, first = _sequence(data[base : offsets[hi]], offsets[lo : hi + 1] - base)
                 m = hi - lo
                 ids = _find(tree.words, seq)
-                p = np.log10(tree.probability(ids, doc, first))
+                p = np.log10(tree.probability(ids, doc, first, seq))
                 p[first[:-1]] = 0
                 known = ids >= 0
                 known[first[:-1]] = False
                 root = np.log10(tree.root[ids[known]])
+                # rare words, and strings that may be among the tree's rest
                 rare = np.flatnonzero(ids < 0)
-                order = rare[np.lexsort((seq[rare], doc[rare]))]
-                k, d = seq[order], doc[order]
+                unseen = unit * np.bincount(doc[rare], minlength=m)
+                since, found = np.arange(len(seq)) - first[doc], [(seq[rare], doc[rare])]
+                for length in range(2, depth + 2):
+                    at = np.flatnonzero(since >= length - 1)
+                    key = _key_at(seq, at, length)
+                    may = _may_hold(table, key)
+                    found.append((key[may], doc[at[may]]))
+                k, d = (np.concatenate(c) for c in zip(*found))
+                order = np.lexsort((k, d))
+                k, d = k[order], d[order]
                 new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]) if len(k) else np.empty(0, np.int64)
                 per = np.r_[0, np.cumsum(np.bincount(d[new], minlength=m))].astype(np.int32)
-                times = np.diff(np.r_[new, len(k)])
+                times = np.diff(np.r_[new, len(k)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(rid, rid + m)),
@@ -258,8 +344,8 @@ def suffix_tree_scores(
                         batch.column(1).slice(lo, m),
                         pa.array(np.diff(first) - 1),
                         pa.array(np.bincount(doc[known], minlength=m)),
-                        pa.array(np.bincount(doc[known], root, m).astype(float)),
-                        pa.array(np.bincount(doc, p, m)),
+                        pa.array(np.bincount(doc[known], root, m).astype(float) - unseen),
+                        pa.array(np.bincount(doc, p, m) - unseen),
                         pa.ListArray.from_arrays(pa.array(per), pa.array(k[new])),
                         pa.ListArray.from_arrays(pa.array(per), pa.array(times)),
                     ],
@@ -267,14 +353,14 @@ def suffix_tree_scores(
                 )
                 rid += m
 
-    schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>, tail_n array<long>"
+    schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>, tail_n array<int>"
+    _freed(spark)
     scored = written(rows.mapInArrow(score, schema), "scored")
     tail = scored.select("rid", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("rid", F.col("t.tail").alias("key"), F.col("t.tail_n").alias("times"))
-    share = F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(n + v + 1)))
-    tail = tail.join(counts, "key", "left").select("rid", F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("n_known"), share.alias("base"), share.alias("score"))
+    tail = tail.join(rest, "key").select("rid", *((F.col("times") * F.col(c)).alias(name) for c, name in (("known", "n_known"), ("base", "base"), ("score", "score"))))
     return (
         scored.drop("tail", "tail_n")
-        .unionByName(tail, allowMissingColumns=True)
+        .unionByName(tail.withColumn("n_known", F.col("n_known").cast("long")), allowMissingColumns=True)
         .groupBy("rid")
         .agg(*(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")), *(F.sum(c).alias(c) for c in ("n_known", "base", "score")))
         .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -120,6 +120,57 @@ def test_context_helps_on_held_out_rows(spark, sf):
     assert row[0] > row[1]
 
 
+def plain_tree(train, smoothing, penalty, depth, least):
+    """The logarithm of a text's probability under the suffix tree in plain Python."""
+    seqs = [["<s>", *lower(t).split(), "</s>"] for t in train]
+    grams = Counter(tuple(s[i : i + k]) for s in seqs for k in range(1, depth + 2) for i in range(len(s) - k + 1))
+    words = {g[0]: c for g, c in grams.items() if len(g) == 1 and g[0] != "<s>"}
+    n, v = sum(words.values()), len(words)
+    states = {}
+
+    def probability(context, word):
+        if not context:
+            return (words.get(word, 0) + 1) / (n + v + 1)
+        p = probability(context[1:], word)
+        if context in states:
+            left, stored, weight, total = states[context]
+            p = left * p + weight * stored.get(word, 0) / total
+        return p
+
+    for k in range(1, depth + 1):
+        found = {}
+        for g, c in grams.items():
+            if len(g) == k + 1 and c >= least:
+                found.setdefault(g[:-1], {})[g[-1]] = c
+        new = {}
+        for context, stored in found.items():
+            total, parent = grams[context], {w: probability(context[1:], w) for w in stored}
+            rest, parent_rest = 1 - sum(stored.values()) / total, 1 - sum(parent.values())
+            gain = sum(c * np.log(c / total / parent[w]) for w, c in stored.items())
+            gain += total * rest * np.log(rest / max(parent_rest, 1e-12)) if rest > 1e-12 else 0
+            if gain > penalty * np.log(n) * len(stored):
+                weight = total / (total + smoothing)
+                new[context] = 1 - weight * (1 - rest), stored, weight, total
+        states |= new
+    return states, lambda text: sum(log10(probability(tuple(s[max(0, i - depth) : i]), s[i])) for s in [["<s>", *lower(text).split(), "</s>"]] for i in range(1, len(s)))
+
+
+@pytest.mark.parametrize("share", [1e-6, 0.02, 0.5])
+def test_strings_count_by_occurrences(spark, share):
+    """The scores do not depend on what is broadcast; a string seen twice is learnt in any corpus."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, 40) % 500) for _ in range(120)]
+    texts += ["Rare words meet here again", "rare words meet here again", "rare words never seen at all", "", "rare words meet"]
+    held = len(texts) - 3
+    states, plain = plain_tree(texts[:held], 4.0, 0.5, 2, 2)
+    assert ("rare",) in states and any(len(s) == 2 for s in states)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = suffix_tree.suffix_tree_scores(docs, F.col("doc_id") >= held, word_share=share, min_share=share).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r["score"] == pytest.approx(plain(texts[r["doc_id"]]), rel=1e-9)
+
+
 # --- near duplicates
 
 
