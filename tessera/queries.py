@@ -444,7 +444,7 @@ def pca_dims(spark, sf_dir):
 @_query
 def mauve_kmeans(spark, sf_dir):
     v = _vectors(spark, sf_dir).select("id", "vector")
-    groups, buckets = evaluate.clustered(private(v, "id"), synthetic(v, "id"), restarts=2)
+    groups, buckets = evaluate.clustered(private(v, "id"), synthetic(v, "id"))
     return divergence.mauve(divergence.divergence_curve(divergence.histogram(groups.where("side = 'p'"), groups.where("side = 'q'"), buckets)))
 
 

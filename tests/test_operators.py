@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.models import embedded, generated, logit_bias
 from tessera.operators import choice, divergence, likelihood, moments, neighbours, ngrams, ranking, sampling, votes
 from tessera.plans import evaluate, generate, refine
+from tessera.queries import QUERIES
 
 few = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -133,6 +134,15 @@ def test_moments_and_distances(spark):
     assert moments.sinkhorn_divergence(x.astype(float), x.astype(float) + 3) == pytest.approx(18, rel=0.05)
 
 
+def test_mauve_query_fits_in_full(spark, sf, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    made, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, rows: made.append((self.getK(), self.getSeed(), self.getMaxIter())) or fit(self, rows))
+    assert 0 <= QUERIES["mauve_kmeans"](spark, sf).first()["mauve"] <= 1
+    assert made == [(25, 25 + r, 500) for r in range(5)]
+
+
 def naive_bleu(texts):
     total = []
     for own in texts:
