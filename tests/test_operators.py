@@ -134,6 +134,14 @@ def test_moments_and_distances(spark):
     assert moments.sinkhorn_divergence(x.astype(float), x.astype(float) + 3) == pytest.approx(18, rel=0.05)
 
 
+def test_sinkhorn_takes_all_vectors(spark):
+    rng = np.random.default_rng(9)
+    x, y = (rng.normal(size=(n, 3)).astype(np.float32) for n in (560, 540))
+    want = moments.sinkhorn_divergence(x.astype(float), y.astype(float))
+    assert evaluate.sampled_sinkhorn(vectors(spark, x), vectors(spark, y)) == pytest.approx(want, abs=1e-9)
+    assert moments.sinkhorn_divergence(x.astype(float), y.astype(float), cells=1000) == pytest.approx(want, abs=1e-9)
+
+
 def test_mauve_query_fits_in_full(spark, sf, monkeypatch):
     from pyspark.ml.clustering import KMeans
 
