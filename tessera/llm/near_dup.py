@@ -1,24 +1,26 @@
 """Near-duplicate detection by b-bit MinHash.
 
-1. Every text becomes its set of word shingles; texts with one set are one class, whose smallest id
-   represents it.
+1. Every text becomes its set of word shingles; texts with one set are one class, a node that is
+   known by a hash of the set, so that rows which share an id but not a text keep their links apart.
 2. Each class gets `bands * rows` minima; a band's minima hash to a bucket key, and the two lowest
    bits of each minimum are packed into a signature. With the defaults a pair of similarity 0.8
    shares no bucket with a probability of 1e-7.
 3. Pairs from buckets are kept if the similarity estimated from equal bit pairs, corrected for the
    quarter that agrees by chance, is at most `slack` below the threshold (over five deviations);
    then the links are confirmed on the full sets.
-4. Not every pair of a bucket is needed for the components: first each member meets the bucket's
-   smallest class, then, in buckets that still hold several components, one drawn from the largest.
+4. Not every pair of a bucket is needed for the components: each member meets two of its bucket,
+   those with the least and the greatest hash, which are the same ones in most buckets of a group.
 5. Links across components that are then still missing are found exactly. A shingle is rare if at
    most `RARE` of the classes left hold it (a Bloom filter of fixed size tells common ones; what it
    takes for common by mistake counts as common everywhere). Two linked sets share a rare shingle,
    or else have all of their overlap in common shingles. The first are met by rare shingle, at most
-   RARE to each, if both keep enough shingles without those that no other set holds. For the second, a set with few rare shingles that members of a bucket have met is
-   a measure: two sets overlap in no more than the lesser of their overlaps with it and the lesser of
-   their common shingles outside it. Copies with many edits can't reach the threshold so and drop
-   out; what is left meets by bucket, across components.
-6. Components are found by alternating large-star and small-star steps, all in tables.
+   RARE to each, if both keep enough shingles without those that no other set holds. For the second,
+   a set with few rare shingles that members of a bucket have met is a measure: two sets overlap in
+   no more than the lesser of their overlaps with it and the lesser of their common shingles outside
+   it. Copies with many edits can't reach the threshold so and drop out; what is left meets by
+   bucket, across components, and a large bucket is dealt to many tasks by salts.
+6. Components are found by alternating large-star and small-star steps, all in tables. Tables are
+   deleted as soon as nothing reads them any more.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import sized, written
+from tessera.llm.shared import freed, sized, written
 from tessera.llm.text import Counts, blocks, mix, signed, span_hashes, utf8, words
 
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -38,6 +40,8 @@ _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 _FILTER_BITS = 1 << 26
 #: Sets that may hold a shingle which counts as rare.
 RARE = 16
+#: Members of a bucket that one task compares others with.
+SALTED = 256
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -63,6 +67,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nd
     return out
 
 
+def _nodes(sets: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each set; 0 for an empty one."""
+    out = np.zeros(len(sets), np.uint64)
+    for i, s in enumerate(sets):
+        if len(s):
+            out[i] = mix(mix(s + _A).sum(keepdims=True) * _A + mix(s ^ _B).sum(keepdims=True) * _B + np.uint64(len(s)))[0]
+    return out
+
+
 def _multipliers(k: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(77)
     return rng.integers(1, 1 << 32, k, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, k, dtype=np.uint32)
@@ -89,12 +102,10 @@ def _signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             for lo, hi in blocks(offsets):
                 base, n = offsets[lo], hi - lo
                 sets = shingle_sets(data[base : offsets[hi]], offsets[lo : hi + 1] - base, size)
-                f = np.zeros((2, n), np.uint64)
                 keys = np.zeros((n, bands), np.uint64)
                 bits = np.zeros((n, 2, planes * 64), np.uint8)
                 for i, s in enumerate(sets):
                     if len(s):
-                        f[0, i], f[1, i] = mix(s + _A).sum(), mix(s ^ _B).sum()
                         m = _minima(s, a, b)
                         keys[i] = (m.reshape(bands, rows).astype(np.uint64) * weights).sum(1)
                         bits[i, 0, : len(m)], bits[i, 1, : len(m)] = m >> 31, m >> 30 & 1
@@ -102,11 +113,11 @@ def _signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 packed = np.packbits(bits.reshape(n, -1), axis=1).view(np.int64)
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(f[0])), pa.array(signed(f[1])), lists(signed(keys)), lists(packed)],
-                    ["doc_id", "n_shingles", "f1", "f2", "bands", "bits"],
+                    [batch.column(0).slice(lo, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(_nodes(sets))), lists(signed(keys)), lists(packed)],
+                    ["doc_id", "n_shingles", "node", "bands", "bits"],
                 )
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, bits array<long>")
+    return docs.mapInArrow(sign, "doc_id long, n_shingles long, node long, bands array<long>, bits array<long>")
 
 
 def _filter(ids: DataFrame, places: list[Column]) -> np.ndarray:
@@ -129,30 +140,31 @@ _SHIFTS = (0, 19, 38)
 
 
 def _sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """doc_id and set (sorted hashes) of the documents in `needed` (and of few others)."""
+    """node and set (sorted hashes) of the classes in `needed`, which has node and id, a document of the class."""
     shared = docs.sparkSession.sparkContext.broadcast(_filter(needed, _id_places("id")))
     hashes = F.array(*_id_places("doc_id")).alias("at")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            at = np.asarray(batch.column(2).flatten()).reshape(-1, 5)
+            at = np.asarray(batch.column(1).flatten()).reshape(-1, 5)
             hit = (table[at >> 6] >> (at & 63) & 1).all(1)
             if hit.any():
                 batch = batch.filter(pa.array(hit))
-                data, offsets = utf8(batch.column(1))
+                data, offsets = utf8(batch.column(0))
                 for lo, hi in blocks(offsets):
                     base = offsets[lo]
                     sets = shingle_sets(data[base : offsets[hi]], offsets[lo : hi + 1] - base, size)
                     values = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)), pa.array(signed(np.concatenate(sets))))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), values], ["doc_id", "set"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(_nodes(sets))), values], ["node", "set"])
 
-    found = docs.select("doc_id", "text", hashes).mapInArrow(collect, "doc_id long, set array<long>")
-    return written(found.join(needed.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), "sets")
+    found = docs.select("text", hashes).mapInArrow(collect, "node long, set array<long>")
+    found = found.join(needed.select("node").hint("merge"), "node", "left_semi")
+    return written(found.groupBy("node").agg(F.first("set").alias("set")), "sets")
 
 
 def _split_sets(sets: DataFrame, rare: int) -> DataFrame:
-    """id, n (shingles), common (how many of them more than `rare` sets hold) and rare (the others)."""
+    """node, n (shingles), common (how many of them more than `rare` sets hold) and rare (the others)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Counts()
@@ -180,62 +192,70 @@ def _split_sets(sets: DataFrame, rare: int) -> DataFrame:
             ends = np.r_[0, np.cumsum(size)]
             number = np.diff(np.r_[0, np.cumsum(common)][ends])
             left = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size - number)].astype(np.int32)), pa.array(h[~common]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int64)), pa.array(number.astype(np.int64)), left], ["id", "n", "common", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int64)), pa.array(number.astype(np.int64)), left], ["node", "n", "common", "rare"])
 
-    return sets.select("doc_id", "set").mapInArrow(part, "id long, n long, common long, rare array<long>")
+    return sets.select("node", "set").mapInArrow(part, "node long, n long, common long, rare array<long>")
 
 
 def _missing_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that could be linked; rest: key, id and component of the buckets left."""
-    ids = rest.select("id", "component").distinct()
-    own = _split_sets(sets.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), RARE)
-    own = written(own.join(ids, "id"), "split")
+    """Pairs (a, b) of different components that could be linked; rest: key, node and component of the buckets left."""
+    nodes = rest.select("node", "component").distinct()
+    own = _split_sets(sets.join(nodes.select("node").hint("merge"), "node", "left_semi"), RARE)
+    own = written(own.join(nodes, "node"), "split")
     # a shingle that no other of these sets holds is in no overlap
-    alone = own.select("id", F.explode("rare").alias("e")).groupBy("e").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
-    alone = alone.groupBy("id").agg(F.count("*").alias("alone"))
+    alone = own.select("node", F.explode("rare").alias("e")).groupBy("e").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
     reach = (F.col("n") - F.coalesce("alone", F.lit(0))).alias("reach")
-    held = own.join(alone, "id", "left").select("component", "id", "n", reach, F.explode("rare").alias("e")).select("e", F.struct("component", "id", "n", "reach").alias("x"))
+    held = own.join(alone, "node", "left").select("component", "node", "n", reach, F.explode("rare").alias("e")).select("e", F.struct("component", "node", "n", "reach").alias("x"))
     # at most RARE sets hold one of these shingles
     held = held.where(f"100 * x.reach >= {percent} * x.n").groupBy("e").agg(F.collect_list("x").alias("g")).where("array_min(g).component < array_max(g).component")
     enough = f"x.component < y.component and {100 + percent} * least(x.reach, y.reach) >= {percent} * (x.n + y.n)"
-    met = held.select(F.explode(F.expr(f"flatten(transform(g, x -> transform(filter(g, y -> {enough}), y -> struct(least(x.id, y.id) as a, greatest(x.id, y.id) as b))))")).alias("p")).select("p.*")
+    met = held.select(F.explode(F.expr(f"flatten(transform(g, x -> transform(filter(g, y -> {enough}), y -> struct(least(x.node, y.node) as a, greatest(x.node, y.node) as b))))")).alias("p")).select("p.*")
+    met = written(met.distinct(), "met")
     # linked without a rare shingle in common: both have that many common ones
-    rich = rest.join(own.where(f"100 * common >= {percent} * n").select("id", "n", "common", "rare"), "id")
+    rich = rest.join(own.where(f"100 * common >= {percent} * n").select("node", "n", "common"), "node")
     rich = _could_link(written(rich, "rich"), F.col("common"), percent)
     # the set with the fewest rare shingles that any member of a bucket has met stands for what most share
-    best = F.min(F.struct((F.col("n") - F.col("common")).alias("rare"), (-F.col("common")).alias("common"), F.col("id"))).alias("best")
-    met_by = rich.join(rich.groupBy("key").agg(best), "key").groupBy("id").agg(F.min("best").alias("best"))
-    hubs = _split(rich.select("key", "id", "component").join(met_by, "id"), F.min("best").alias("best")).select("key", F.col("best.id").alias("hub"))
-    rich = written(rich.join(hubs, "key"), "rich")
-    spans = rich.select("id", "hub", "rare").distinct()
-    spans = spans.join(sets.select(F.col("doc_id").alias("id"), F.col("set").alias("x")), "id").join(sets.select(F.col("doc_id").alias("hub"), F.col("set").alias("h")), "hub")
+    best = F.min(F.struct((F.col("n") - F.col("common")).alias("rare"), (-F.col("common")).alias("common"), F.col("node"))).alias("best")
+    met_by = rich.join(rich.groupBy("key").agg(best), "key").groupBy("node").agg(F.min("best").alias("best"))
+    hubs = _split(rich.select("key", "node", "component").join(met_by, "node"), F.min("best").alias("best")).select("key", F.col("best.node").alias("hub"))
+    near = written(rich.join(hubs, "key"), "near")
+    freed(rich)
+    spans = near.select("node", "hub").distinct().join(own.select("node", "rare"), "node")
+    spans = spans.join(sets.select("node", F.col("set").alias("x")).hint("merge"), "node").join(sets.select(F.col("node").alias("hub"), F.col("set").alias("h")), "hub")
     inside = F.size(F.array_intersect("x", "h"))
-    spans = spans.select("id", "hub", inside.alias("inside"), F.size(F.array_except(F.array_except("x", "h"), "rare")).alias("outside"))
-    rich = _could_link(written(rich.drop("rare").join(spans, ["id", "hub"]), "rich"), F.col("inside") + F.col("outside"), percent)
+    spans = spans.select("node", "hub", inside.alias("inside"), F.size(F.array_except(F.array_except("x", "h"), "rare")).alias("outside"))
+    rich = _could_link(written(near.join(spans, ["node", "hub"]), "rich"), F.col("inside") + F.col("outside"), percent)
+    freed(near, own)
     # all of a bucket against those outside its largest component; a pair meets in the first bucket that both still have
-    rich = written(rich.join(rich.groupBy("id").agg(F.collect_set("key").alias("keys")), "id"), "rich")
-    largest = rich.groupBy("key", "component").agg(F.count("*").alias("c"))
-    largest = _split(largest, F.max_by("component", F.struct("c", "component")).alias("largest"))
-    minor = rich.join(largest, "key").where("component != largest")
-    other = rich.select("key", *(F.col(c).alias(f"other_{c}") for c in ("id", "component", "n", "inside", "outside", "keys")))
+    last = written(rich.join(rich.groupBy("node").agg(F.collect_set("key").alias("keys")), "node"), "last")
+    freed(rich)
+    sizes = last.groupBy("key", "component").agg(F.count("*").alias("c"))
+    sizes = _split(sizes, F.max_by("component", F.struct("c", "component")).alias("largest"), F.ceil(F.sum("c") / SALTED).alias("salts"))
+    # each outside the largest component meets one salt's share of the others at a time
+    minor = last.join(sizes, "key").where("component != largest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    other = last.join(sizes.select("key", "salts"), "key").withColumn("salt", F.pmod(F.xxhash64("node"), "salts"))
+    other = other.select("key", "salt", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "n", "inside", "outside", "keys")))
     most = "least(inside, other_inside) + least(outside, other_outside)"
-    close = minor.join(other, "key").where(f"component != other_component and {100 + percent} * ({most}) >= {percent} * (n + other_n) and key = array_min(array_intersect(keys, other_keys))")
-    return met.union(close.select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b"))).distinct()
+    close = minor.join(other, ["key", "salt"]).where(f"component != other_component and {100 + percent} * ({most}) >= {percent} * (n + other_n) and key = array_min(array_intersect(keys, other_keys))")
+    return met.union(close.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))).distinct()
 
 
-def _split(rows: DataFrame, value: Column) -> DataFrame:
-    """key and a value of the buckets that hold several components."""
-    return rows.groupBy("key").agg(value, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").drop("lo", "hi")
+def _split(rows: DataFrame, *values: Column) -> DataFrame:
+    """key and values of the buckets that hold several components."""
+    return rows.groupBy("key").agg(*values, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").drop("lo", "hi")
 
 
 def _could_link(rows: DataFrame, most: Column, percent: int) -> DataFrame:
-    """Rows of split buckets whose greatest possible overlap is enough for the bucket's smallest set."""
+    """Rows of split buckets whose greatest possible overlap is enough for the bucket's smallest set; `rows` are deleted."""
     least = _split(rows, F.min("n").alias("least"))
-    return written(rows.join(least, "key").where((100 + percent) * most >= percent * (F.col("n") + F.col("least"))).drop("least"), "could")
+    out = written(rows.join(least, "key").where((100 + percent) * most >= percent * (F.col("n") + F.col("least"))).drop("least"), "could")
+    freed(rows)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, component: for each node of the undirected edges (a, b) the smallest node that it reaches.
+    """node, component: for each node of the undirected edges (a, b) the smallest node that it reaches.
 
     Alternating large-star and small-star steps until the edges stay as they are, which are then a
     star around each smallest node. Self loops are allowed; an empty table gives an empty one.
@@ -252,12 +272,13 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(down, "b")
         small = small.select(F.col("m").alias("a"), F.col("a").alias("b")).union(down.select(F.col("m").alias("a"), "b")).where("a < b").distinct()
-        pairs = written(small, "stars")
+        done, pairs = pairs, written(small, "stars")
+        freed(done)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    return pairs.select(F.col("b").alias("id"), F.col("a").alias("component")).union(pairs.select("a", "a").distinct())
+    return pairs.select(F.col("b").alias("node"), F.col("a").alias("component")).union(pairs.select("a", "a").distinct())
 
 
 def near_duplicates(
@@ -275,56 +296,56 @@ def near_duplicates(
     Two texts are linked if 100 * |intersection| >= percent * |union| of their shingle sets, and
     component_id is the smallest id that links lead to. Null and empty texts and texts of white
     space have an empty set and link with nothing; a text shorter than a shingle is one shingle.
-    Repeated rows with the same id and text stay repeated. Ids must not be null in more than one
-    row if components are to tell those rows apart. An empty table gives an empty result.
+    Repeated rows stay repeated. Rows with one id and different texts each have their own links; a
+    null id is no smallest id, so a component of such rows only has none. Texts are read whole,
+    other columns of `docs` are not looked at, and an empty table gives an empty result.
     """
     sized(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed_docs = written(_signatures(docs, shingle_words, bands, rows), "signed")
-    classes = signed_docs.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
+    wide = written(_signatures(docs, shingle_words, bands, rows), "signed")
+    # all of a class carry the same signature
+    classes = wide.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "bits")))
     classes = written(classes, "classes")
-    # any member of a class carries the class's signature
-    own = signed_docs.join(classes.select("f1", "f2", "id"), ["f1", "f2"]).where("doc_id = id").select("id", "n_shingles", "bands", "bits").dropDuplicates(["id"])
-    own = written(own, "representatives")
-    keyed = own.select("id", F.explode("bands").alias("key"))
-    shared_keys = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = written(keyed.join(shared_keys, "key"), "members")
-    needed = written(members.select("id").distinct(), "needed")
-    sets = _sets(docs, needed, shingle_words)
-    bits = own.join(needed, "id", "left_semi").select("id", "n_shingles", "bits")
-    bits = written(bits, "bits")
+    rows_of = written(wide.select("doc_id", "n_shingles", "node"), "rows")
+    freed(wide)
+    keyed = classes.select("node", F.explode("bands").alias("key"))
+    # the least and the greatest of a bucket, of which those with one member only have none
+    hubs = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    members = written(keyed.join(hubs, "key"), "members")
+    # with signatures of those only that met another
+    narrow = classes.select("node", "id", "n_shingles", "bits").join(members.select("node").distinct(), "node", "left_semi")
+    narrow = written(narrow, "signatures")
+    ids = written(classes.select("node", "id"), "ids")
+    freed(classes)
+    sets = _sets(docs, narrow.select("node", "id"), shingle_words)
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (a, b), those whose sets are similar enough."""
         k, cut = bands * rows, percent / 100 - slack
         planes = -(-k // 64)
         differ = " + ".join(f"bit_count((x[{i}] ^ y[{i}]) | (x[{i + planes}] ^ y[{i + planes}]))" for i in range(planes))
-        pairs = pairs.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("x"), F.col("n_shingles").alias("na")), "a")
-        pairs = pairs.join(bits.select(F.col("id").alias("b"), F.col("bits").alias("y"), F.col("n_shingles").alias("nb")), "b")
+        pairs = pairs.join(narrow.select(F.col("node").alias("a"), F.col("bits").alias("x"), F.col("n_shingles").alias("na")), "a")
+        pairs = pairs.join(narrow.select(F.col("node").alias("b"), F.col("bits").alias("y"), F.col("n_shingles").alias("nb")), "b")
         pairs = pairs.where(F.expr(f"(1 - ({differ}) / {k}D - 0.25) / 0.75 >= {cut}"))
         pairs = pairs.where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")).select("a", "b", "na", "nb")
-        pairs = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
+        # sets grow with the input: they are dealt by key, at any size
+        of = lambda end, name: sets.select(F.col("node").alias(end), F.col("set").alias(name)).hint("merge")
+        pairs = pairs.join(of("a", "sa"), "a").join(of("b", "sb"), "b")
         return pairs.withColumn("both", F.size(F.array_intersect("sa", "sb"))).where(F.expr(f"100 * both >= {percent} * (na + nb - both)")).select("a", "b")
 
-    found = needed.select("id", F.col("id").alias("component"))
-    for turn in range(3):
-        labelled = members.join(found, "id") if turn else members.withColumn("component", F.col("id"))
-        # a member of the bucket's largest component, so that only the other members meet it
-        sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("c"), F.min_by("id", F.xxhash64("id", "key")).alias("id"))
-        split = _split(sizes, F.max_by(F.struct("id", "component"), F.struct("c", -F.col("component"))).alias("hub")).select("key", "hub.*")
-        if turn < 2:
-            pairs = labelled.join(split.select("key", F.col("id").alias("hub"), F.col("component").alias("hub_component")), "key").where("component != hub_component")
-            pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        else:
-            pairs = _missing_pairs(written(labelled.join(split.select("key"), "key"), "rest"), sets, percent)
-        links = linked(pairs)
-        if turn:
-            names = found.select(F.col("id").alias("a"), F.col("component").alias("ca")), found.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-            links = links.join(names[0], "a").join(names[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        united = components(links)
-        joined = found.join(united.select(F.col("id").alias("component"), F.col("component").alias("next")), "component", "left")
-        found = written(joined.select("id", F.coalesce("next", "component").alias("component")), "found")
-    top = classes.join(found, "id", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    out = signed_docs.select("doc_id", "n_shingles", "f1", "f2").join(top, ["f1", "f2", "n_shingles"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    pairs = members.select("node", F.explode(F.array("lo", "hi")).alias("hub")).where("node != hub")
+    first = components(linked(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()))
+    found = written(members.select("node").distinct().join(first, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "found")
+    labelled = members.select("key", "node").join(found, "node")
+    rest = written(labelled.join(_split(labelled), "key"), "rest")
+    freed(first, members)
+    links = linked(_missing_pairs(rest, sets, percent))
+    ends = found.select(F.col("node").alias("a"), F.col("component").alias("ca")), found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    united = components(links.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    freed(rest, sets, narrow)
+    found = found.join(united.select(F.col("node").alias("component"), F.col("component").alias("next")), "component", "left")
+    named = ids.join(found.select("node", F.coalesce("next", "component").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    top = named.join(smallest, "component").select("node", "component_id")
+    out = rows_of.join(top, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

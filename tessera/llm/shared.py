@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import tempfile
 import uuid
 
@@ -19,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     if folder:
         return folder.rstrip("/")
     if not _own:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         holder = tempfile.TemporaryDirectory(prefix="tessera-")
         atexit.register(holder.cleanup)
@@ -35,6 +37,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more, and lets Spark drop the shuffles behind them."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        jvm, conf = context._jvm, context._jsc.hadoopConfiguration()
+        folder = shared_dir(table.sparkSession)
+        for own in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            if own.split(":", 1)[-1].lstrip("/").startswith(folder.split(":", 1)[-1].lstrip("/")):
+                path = jvm.org.apache.hadoop.fs.Path(own)
+                path.getFileSystem(conf).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
+
+
 def sized(spark: SparkSession) -> None:
     """Bounds what a Python worker receives at once, however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))

@@ -221,9 +221,18 @@ def test_large_group_of_edited_copies(spark):
         assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_duplicates(df, shingle_words=size).collect()} == brute(texts, size)
 
 
+def test_rows_of_one_id_keep_their_links(spark):
+    a, b = (" ".join(f"{name}{i}" for i in range(12)) for name in "ab")
+    rows = [(1, a), (1, b), (2, f"{b} thirteen"), (3, f"{a} nu"), (None, f"{a} xi"), (9, "apart from all others"), (None, "x y z"), (8, "x y z")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=2).collect()
+    assert sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in got) == sorted(
+        [("1", 1, True), ("1", 1, True), ("2", 1, False), ("3", 1, False), ("None", 1, False), ("9", 9, True), ("None", 8, False), ("8", 8, True)]
+    )
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (7, 7)], "a long, b long")
-    got = {r["id"]: r["component"] for r in components(edges).collect()}
+    got = {r["node"]: r["component"] for r in components(edges).collect()}
     assert {got[i] for i in range(61)} == {0} and got[101] == got[100] == 100
 
 
