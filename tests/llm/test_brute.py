@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import secret_scan, suffix_tree
-from tessera.llm.decontaminate import contaminated
+from tessera.llm.decontaminate import MASKS, contaminated
 from tessera.llm.fingerprint import digest, likeness
 from tessera.llm.html_text import Node, Roles, extract, main_text, merge, parse, wrapper_of
 from tessera.llm.line_dedup import PerfectHash
@@ -372,3 +372,70 @@ def test_probes(spark, sf):
         assert r["fingerprint"] == a.tobytes().hex() and r["edited_fingerprint"] == b.tobytes().hex()
         assert r["near_edited"] == pytest.approx(likeness(a, b)) and r["near_next"] == pytest.approx(likeness(a, c))
         assert 0 <= r["near_next"] <= 1 and (text != edited or r["near_edited"] == 1)
+
+
+# --- spaced seeds
+
+
+def permitted(n: int, percent: int = 80) -> int:
+    return n - -(-percent * n // 100)
+
+
+def avoiding(masks, longest):
+    """For each length the fewest substitutions that leave no place for any of the masks."""
+    bits, keep = [int(m, 2) for m in masks], (1 << max(map(len, masks)) - 1) - 1
+    now, out = {0: 0}, [0]
+    for _ in range(longest):
+        after = {}
+        for state, cost in now.items():
+            for same in (0, 1):
+                seen = state << 1 | same
+                if not (same and any(seen & b == b for b in bits)):
+                    after[seen & keep] = min(after.get(seen & keep, 99), cost + 1 - same)
+        now = after
+        out.append(min(now.values()))
+    return out
+
+
+def test_masks_are_lossless():
+    for lo, hi, masks in MASKS:
+        least = avoiding(masks, min(hi, 200))
+        assert all(least[n] > permitted(n) for n in range(lo, min(hi, 200) + 1))
+        # beyond, the fewest substitutions grow faster than those permitted
+        assert hi <= 200 or (least[200] - least[100]) / 100 > 0.2 and least[13] > 13 - -(-80 * 13 // 100)
+
+
+def found_by_brute_force(docs, items, percent=80, window=13):
+    out = set()
+    for d, text in docs:
+        words = (text or "").lower().split()
+        for i, item in items:
+            own = (item or "").lower().split()
+            for shift in range(-len(own) + 1, len(words)):
+                same = [0 <= shift + k < len(words) and words[shift + k] == w for k, w in enumerate(own)]
+                part = len(own) >= window and max(sum(same[k : k + window]) for k in range(len(own) - window + 1))
+                if 100 * sum(same) >= percent * len(own) or 100 * part >= percent * window:
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_contamination_equals_brute_force(spark):
+    """Items of all short lengths with as many substitutions as the rule permits, and one more."""
+    r = np.random.default_rng(4)
+    items = [(n * 10 + k, " ".join(f"w{r.integers(60)}" for _ in range(n))) for n in [*range(1, 24), 40] for k in range(2)]
+    docs = []
+    for i, text in items:
+        own = text.split()
+        for more in (0, 0, 0, 1):
+            copy = own[:]
+            for at in r.permutation(len(own))[: permitted(len(own)) + more]:
+                copy[at] = f"x{r.integers(10**6)}"
+            around = [[f"y{r.integers(10**6)}" for _ in range(r.integers(5))] for _ in range(2)]
+            docs.append((len(docs), " ".join([*around[0], *copy, *around[1]])))
+    docs += [(len(docs), "same " * 500), (len(docs) + 1, None), (len(docs) + 2, "")]
+    items.append((999, "same " * 20))
+    frames = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    want = found_by_brute_force(docs, items)
+    for limit in (0, 10**6):
+        assert {(x["doc_id"], x["item_id"]) for x in contaminated(*frames, broadcast_seeds=limit).collect()} == want
