@@ -220,16 +220,16 @@ def _missing_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     met_by = rich.join(rich.groupBy("key").agg(best), "key").groupBy("node").agg(F.min("best").alias("best"))
     hubs = _split(rich.select("key", "node", "component").join(met_by, "node"), F.min("best").alias("best")).select("key", F.col("best.node").alias("hub"))
     near = written(rich.join(hubs, "key"), "near")
-    freed(rich)
+    freed(rich, shuffles=False)
     spans = near.select("node", "hub").distinct().join(own.select("node", "rare"), "node")
     spans = spans.join(sets.select("node", F.col("set").alias("x")).hint("merge"), "node").join(sets.select(F.col("node").alias("hub"), F.col("set").alias("h")), "hub")
     inside = F.size(F.array_intersect("x", "h"))
     spans = spans.select("node", "hub", inside.alias("inside"), F.size(F.array_except(F.array_except("x", "h"), "rare")).alias("outside"))
     rich = _could_link(written(near.join(spans, ["node", "hub"]), "rich"), F.col("inside") + F.col("outside"), percent)
-    freed(near, own)
+    freed(near, own, shuffles=False)
     # all of a bucket against those outside its largest component; a pair meets in the first bucket that both still have
     last = written(rich.join(rich.groupBy("node").agg(F.collect_set("key").alias("keys")), "node"), "last")
-    freed(rich)
+    freed(rich, shuffles=False)
     sizes = last.groupBy("key", "component").agg(F.count("*").alias("c"))
     sizes = _split(sizes, F.max_by("component", F.struct("c", "component")).alias("largest"), F.ceil(F.sum("c") / SALTED).alias("salts"))
     # each outside the largest component meets one salt's share of the others at a time
@@ -250,7 +250,7 @@ def _could_link(rows: DataFrame, most: Column, percent: int) -> DataFrame:
     """Rows of split buckets whose greatest possible overlap is enough for the bucket's smallest set; `rows` are deleted."""
     least = _split(rows, F.min("n").alias("least"))
     out = written(rows.join(least, "key").where((100 + percent) * most >= percent * (F.col("n") + F.col("least"))).drop("least"), "could")
-    freed(rows)
+    freed(rows, shuffles=False)
     return out
 
 
@@ -273,7 +273,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(down, "b")
         small = small.select(F.col("m").alias("a"), F.col("a").alias("b")).union(down.select(F.col("m").alias("a"), "b")).where("a < b").distinct()
         done, pairs = pairs, written(small, "stars")
-        freed(done)
+        freed(done, shuffles=False)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -5,10 +5,11 @@ A text is its UTF-8 bytes with U+2581 for spaces and one before the text. No pie
 holds U+2581 after another character, so merges never cross the place before a run of U+2581, and a
 text falls into words that can be encoded apart and, within a block of documents, once each.
 
-All words of a block lie in one flat array of symbols. In a round, each word finds its pair of
-least rank (segmented minimum); all occurrences of it are merged at once from the left, unless the
-merged piece could take part in a merge of still lesser rank, in which case only the leftmost is, as
-that merge must come first. Arrays are compacted until no pair is left. What is no piece then is
+Words are cut further where no piece holds the two characters on both sides, as no merge crosses
+such a place either; so a long text without spaces falls into short parts. All words of a block lie
+in one flat array of symbols. In a round, each word finds its pair of least rank (segmented minimum);
+all occurrences of it are merged at once from the left, up to the first at which the merged piece
+makes a pair of still lesser rank with a neighbour, as that merge must come first. Arrays are compacted until no pair is left. What is no piece then is
 spelled in byte pieces.
 """
 
@@ -57,6 +58,17 @@ def _fields(raw: bytes):
         yield tag >> 3, value
 
 
+def _pair(a, b):
+    return a << 21 | b
+
+
+def _within(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys a sorted table holds."""
+    if not len(table):
+        return np.zeros(len(keys), bool)
+    return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys
+
+
 class PieceModel:
     """A byte-pair model with byte fallback, identity normaliser and dummy prefix."""
 
@@ -107,7 +119,12 @@ class PieceModel:
                     for x in (a, b):
                         if x < len(normal) and x > r:
                             first[x] = True
-        self.leftmost_only = first
+        self.may_yield = first
+        # characters that stand side by side in some piece, the pairs that are pieces, and threes
+        pieces = [[ord(c) for c in p] for p in rank_of]
+        self.beside = np.unique(np.array([_pair(a, b) for p in pieces for a, b in zip(p, p[1:], strict=False)], np.int64))
+        self.pairs = np.unique(np.array([_pair(*p) for p in pieces if len(p) == 2], np.int64))
+        self.threes = np.unique(np.array([_pair(a, b) << 21 | c for p in pieces for a, b, c in zip(p, p[1:], p[2:], strict=False)], np.int64))
         # open-addressed table of pairs
         self.bits = int(np.ceil(np.log2(len(made) * 4)))
         keys = np.array(lefts, np.int64) << 32 | np.array(rights, np.int64)
@@ -148,6 +165,37 @@ class PieceModel:
             open_ = open_[~hit & (got >= 0)]
         return out
 
+    def cuts(self, text: np.ndarray) -> np.ndarray:
+        """True where no piece holds a character and the one before it, between the same neighbours."""
+        before, after = text[:-1], text[1:]
+        pair = _pair(before, after)
+        cross = _within(self.beside, pair)
+        at = np.flatnonzero(cross)
+        # a piece across that place is the two characters or holds a third beside them
+        three = np.r_[False, _within(self.threes, pair[:-1] << 21 | after[1:]), False] if len(pair) else np.zeros(1, bool)
+        cross[at] = _within(self.pairs, pair[at]) | three[at] | three[at + 1]
+        return np.r_[True, ~cross]
+
+    def _before_lesser(self, symbols: np.ndarray, word: np.ndarray, rank: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which merges at `at` come before any that a merged piece starts with a neighbour."""
+        take = np.ones(len(at), bool)
+        doubt = np.flatnonzero(self.may_yield[rank[at]])
+        if len(doubt):
+            here = at[doubt]
+            made, w = rank[here], word[here]
+            # the symbol on the left may be a piece that was just merged
+            left = symbols[np.maximum(here - 1, 0)]
+            joined = np.r_[False, (here[1:] == here[:-1] + 2) & (w[1:] == w[:-1])]
+            left = np.where(joined, made, left)
+            has_left, has_right = (here > 0) & (word[np.maximum(here - 1, 0)] == w), here + 2 < len(symbols)
+            right_at = np.minimum(here + 2, len(symbols) - 1)
+            has_right &= word[right_at] == w
+            lesser = (has_left & (self.ranks(left, made) < made)) | (has_right & (self.ranks(made, symbols[right_at]) < made))
+            begin = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+            earlier = np.cumsum(lesser) - lesser
+            take[doubt] = earlier == np.repeat(earlier[begin], np.diff(np.r_[begin, len(w)]))
+        return take
+
     def merge(self, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of words that begin at `first` (none is empty), merged until no pair is left; and their words."""
         word = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(symbols)]))
@@ -178,8 +226,8 @@ class PieceModel:
             run = np.r_[True, (at[1:] != at[:-1] + 1) | new[1:]]
             start = np.flatnonzero(run)
             odd = (np.arange(len(at)) - np.repeat(start, np.diff(np.r_[start, len(at)]))) & 1
-            take = np.where(self.leftmost_only[rank[at]], new, odd == 0)
-            at = at[take]
+            at = at[odd == 0]
+            at = at[self._before_lesser(symbols, word, rank, at)]
             symbols[at] = rank[at]
             keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
@@ -218,6 +266,7 @@ class PieceModel:
         begin = mark.copy()
         begin[1:] &= ~mark[:-1]
         begin[first[:-1][full]] = True
+        begin |= self.cuts(text) & ~(mark & np.r_[False, mark[:-1]])
         start = np.flatnonzero(begin)
         if not len(start):
             out = np.tile([self.begin, self.end], n)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Text sent to a Python worker at a time.
 ARROW_BYTES = 8 << 20
 _own: list[str] = []
+_made: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,21 +35,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _made.update(name.rsplit("/", 1)[0] for name in out.inputFiles()[:1])
+    return out
 
 
-def freed(*tables: DataFrame) -> None:
+def freed(*tables: DataFrame, shuffles: bool = True) -> None:
     """Deletes written tables that nothing reads any more, and lets Spark drop the shuffles behind them."""
     for table in tables:
-        context = table.sparkSession.sparkContext
-        jvm, conf = context._jvm, context._jsc.hadoopConfiguration()
-        folder = shared_dir(table.sparkSession)
-        for own in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
-            if own.split(":", 1)[-1].lstrip("/").startswith(folder.split(":", 1)[-1].lstrip("/")):
-                path = jvm.org.apache.hadoop.fs.Path(own)
-                path.getFileSystem(conf).delete(path, True)
+        jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        # only folders that `written` made are ever deleted
+        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()} & _made:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+            _made.discard(folder)
+    if tables and shuffles:
         gc.collect()
-        jvm.System.gc()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def sized(spark: SparkSession) -> None:

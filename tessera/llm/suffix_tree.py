@@ -22,7 +22,6 @@ strings that the tree lacks from being sent; what it lets through is settled by
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from functools import reduce
 
@@ -32,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import sized, written
+from tessera.llm.shared import freed, sized, written
 from tessera.llm.text import Counts, blocks, mix, signed, span_hashes, utf8, words
 
 #: Keys of the end of a text, and of its start, which is a context only.
@@ -175,17 +174,6 @@ def _sorted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return key[order], value[order]
 
 
-def _freed(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more, and lets Spark drop the shuffles behind them."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for table in tables:
-        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
-
-
 class Tree:
     """Root probabilities of frequent words, and the frequent strings of the retained contexts of each length.
 
@@ -247,7 +235,7 @@ def fit(train: DataFrame, word_share: float, min_share: float, smoothing: float,
         # tail: the context without its first word; end: the string without its first word
         found = written(_strings(train, length, shared, min_count).join(heads, "context").join(parents, on).select("key", "context", "word", "n", "total", "end", "parent"), "found")
         if length > 2:
-            _freed(spark, level)
+            freed(level)
         held = found.withColumn("share", share).groupBy("context").agg(
             F.max("total").alias("n"),
             F.count("*").alias("size"),
@@ -266,14 +254,14 @@ def fit(train: DataFrame, word_share: float, min_share: float, smoothing: float,
         # after the last length, only what is stored is read again
         more = [F.col(c) for c in ("context", "word", "end")] + [p.alias("p")] if length <= depth else []
         level = written(level.select("key", "n", (p / left).alias("ratio"), *more), "level")
-        _freed(spark, found)
+        freed(found)
         common = (F.col("n") >= often) | (F.col("key") == START) if length == 2 else F.col("n") >= least
         stored = level.where(F.col("ratio").isNotNull())
         tree.contexts.append(_sorted(kept.where(common).select("key", "left")))
         tree.strings.append(_sorted(stored.where(F.col("n") >= least).select("key", "ratio")))
         parts += [rest(kept.where(~common), F.col("left")), written(rest(stored.where(F.col("n") < least), F.col("ratio")).select("key", "score"), "rest").select("key", F.lit(0).alias("known"), F.lit(0.0).alias("base"), "score")]
         if length > depth:
-            _freed(spark, level)
+            freed(level)
             break
         shorter = level.select("key", "n", F.col("end").alias("tail"))
         parents = level.select(F.col("context").alias("tail"), "word", F.col("key").alias("end"), F.col("p").alias("parent"))
@@ -354,7 +342,6 @@ def suffix_tree_scores(
                 rid += m
 
     schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>, tail_n array<int>"
-    _freed(spark)
     scored = written(rows.mapInArrow(score, schema), "scored")
     tail = scored.select("rid", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("rid", F.col("t.tail").alias("key"), F.col("t.tail_n").alias("times"))
     tail = tail.join(rest, "key").select("rid", *((F.col("times") * F.col(c)).alias(name) for c, name in (("known", "n_known"), ("base", "base"), ("score", "score"))))

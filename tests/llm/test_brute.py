@@ -439,3 +439,24 @@ def test_contamination_equals_brute_force(spark):
     want = found_by_brute_force(docs, items)
     for limit in (0, 10**6):
         assert {(x["doc_id"], x["item_id"]) for x in contaminated(*frames, broadcast_seeds=limit).collect()} == want
+
+
+def test_long_words_are_encoded_in_linear_time():
+    import base64
+    import random
+    import time
+
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    with open(path, "rb") as f:
+        model = PieceModel(f.read())
+    r = random.Random(3)
+    texts = [base64.b64encode(r.randbytes(750_000)).decode(), "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)), "ab" * 30_000, "x" * 50_000, "aab" * 9_000, "the" * 20_000]
+    texts += ["".join(r.choice("aab e") for _ in range(r.randrange(120))) for _ in range(300)]
+    began = time.perf_counter()
+    ids, first = model.encode(*utf8(pa.array(texts)))
+    assert time.perf_counter() - began < 20
+    for i, text in enumerate(texts):
+        assert ids[first[i] : first[i + 1]].tolist() == [1, *library.encode(text), 2]
