@@ -43,8 +43,12 @@ def _without(docs: DataFrame, ids: DataFrame, nulls: bool) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; texts without a word and rows without an id all stay."""
-    return _without(docs, near_duplicates(docs).where("not kept").select("doc_id"), False)
+    """Of each group of near duplicates the document with the smallest id.
+
+    Groups are those of op3: pairs of words, a similarity of 0.8. Texts without a word and rows
+    without an id all stay, and so does every row whose id is its group's smallest.
+    """
+    return _without(docs, near_duplicates(docs, shingle_words=2).where("not kept").select("doc_id"), False)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
