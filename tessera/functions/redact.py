@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.text import bound
+
 # Patterns, replacements and their order are the behaviour.
 PATTERNS = (
     (r"<[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}>|\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[EMAIL]"),
@@ -31,9 +34,35 @@ CURRENCY = (
 DETECTORS = (PATTERNS[0][0], PATTERNS[1][0], PATTERNS[3][0])
 
 
+#: What a text must hold (a plain string, or a shorter pattern) for a pattern to match in it, where that is cheaper to see.
+_NEEDS = {
+    PATTERNS[0][0]: "@",
+    PATTERNS[1][0]: re.compile(r"\d{3}[-.\s]?\d{4}"),
+    PATTERNS[2][0]: re.compile(r"\d{5}"),
+    PATTERNS[3][0]: re.compile(r"\([a-zA-Z0-9_]{3,15}\)"),
+    PATTERNS[6][0]: re.compile(r"[a-z]\d"),
+    PATTERNS[7][0]: re.compile(r"\d_"),
+    PATTERNS[8][0]: "dr",
+    PATTERNS[9][0]: "~",
+    **{pattern: "$" for pattern, _ in CURRENCY},
+}
+
+
+def _may_match(text: Column, pattern: str) -> Column | None:
+    needed = _NEEDS.get(pattern)
+    if needed is None:
+        return None
+    return F.contains(text, F.lit(needed)) if isinstance(needed, str) else F.regexp_like(text, F.lit("(?U)" + needed.pattern))
+
+
 def replaced(text: Column, rules) -> Column:
     """The rules applied one after another; classes and word bounds take all of Unicode, as re does."""
-    return reduce(lambda t, rule: F.regexp_replace(t, "(?U)" + rule[0], rule[1].replace("$", "\\$")), rules, text)
+
+    def one(t: Column, rule) -> Column:
+        make = lambda x: F.regexp_replace(x, "(?U)" + rule[0], rule[1].replace("$", "\\$"))
+        return make(t) if rule[0] not in _NEEDS else bound(t, lambda x: F.when(_may_match(x, rule[0]), make(x)).otherwise(x))
+
+    return reduce(one, rules, text)
 
 
 def redacted(text: Column) -> Column:
@@ -46,6 +75,11 @@ def has_personal_data(text: Column) -> Column:
     return reduce(lambda a, b: a | b, (F.regexp_like(text, F.lit("(?U)" + p)) for p in DETECTORS))
 
 
+def may_have_personal_data(text: Column) -> Column:
+    """Cheap and true of all texts of which any part, with its white space joined, has_personal_data."""
+    return F.contains(text, F.lit("@")) | F.regexp_like(text, F.lit(r"(?U)\d{3}[-.\s]*\d{4}")) | F.regexp_like(text, F.lit(_NEEDS[PATTERNS[3][0]].pattern))
+
+
 def spans_replaced(text: Column, spans: Column) -> Column:
     """Spans (array of struct start, end, label; from 0, end exclusive) as [LABEL], last one first."""
     ordered = F.reverse(F.array_sort(spans))

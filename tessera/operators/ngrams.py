@@ -38,21 +38,23 @@ def self_bleu(texts: DataFrame) -> DataFrame:
     numerators count as 0.1; a text without a word of its own kind elsewhere scores 0.
     """
     own = texts.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_hash")).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
-    own = own.select("text_hash", "copies", words(F.col("text")).alias("words")).withColumn("size", F.size("words").cast("long"))
-    counts = grams(own, range(1, 5), "text_hash").groupBy("text_hash", "n", "gram").agg(F.count("*").alias("c"))
+    # n-grams carry a key of 64 bits instead of the whole hash
+    key = F.conv(F.substring("text_hash", 1, 16), 16, -10).cast("long").alias("key")
+    own = own.select("text_hash", key, "copies", words(F.col("text")).alias("words")).withColumn("size", F.size("words").cast("long"))
+    counts = grams(own, range(1, 5), "key").groupBy("key", "n", "gram").agg(F.count("*").alias("c"))
     # texts by n-gram and count: a common n-gram is a few rows here, however many texts hold it
-    tops = counts.groupBy("n", "gram", "c").agg(F.count("*").alias("texts"), F.min("text_hash").alias("owner"))
+    tops = counts.groupBy("n", "gram", "c").agg(F.count("*").alias("texts"), F.min("key").alias("owner"))
     tops = tops.groupBy("n", "gram").agg(F.max(F.struct("c", "texts", "owner")).alias("top"), F.sort_array(F.collect_list("c"), asc=False).alias("all"))
     tops = tops.select("n", "gram", F.col("top.c").alias("most"), F.when(F.col("top.texts") == 1, F.col("top.owner")).alias("alone"), F.coalesce(F.get("all", F.lit(1)), F.lit(0)).alias("next"))
-    clipped = counts.join(tops, ["n", "gram"]).withColumn("other", F.when(F.col("alone") == F.col("text_hash"), F.col("next")).otherwise(F.col("most")))
-    found = clipped.groupBy("text_hash").agg(*(F.sum(F.when(F.col("n") == n, F.least("c", "other")).otherwise(0)).alias(f"m{n}") for n in range(1, 5)))
+    clipped = counts.join(tops, ["n", "gram"]).withColumn("other", F.when(F.col("alone") == F.col("key"), F.col("next")).otherwise(F.col("most")))
+    found = clipped.groupBy("key").agg(*(F.sum(F.when(F.col("n") == n, F.least("c", "other")).otherwise(0)).alias(f"m{n}") for n in range(1, 5)))
     # distinct lengths: at most as many as the longest text has words
     lengths = own.groupBy("size").agg(F.count("*").alias("texts"))
     order = Window.orderBy("size")
     lo, hi = F.lag("size").over(order), F.lead("size").over(order)
     near = F.when(F.col("texts") > 1, F.col("size")).when(lo.isNull(), hi).when(hi.isNull(), lo).when(F.col("size") - lo <= hi - F.col("size"), lo).otherwise(hi)
     lengths = lengths.select("size", near.alias("closest"))
-    scored = own.drop("words").join(found, "text_hash", "left").join(lengths, "size").fillna(0, [f"m{n}" for n in range(1, 5)])
+    scored = own.drop("words").join(found, "key", "left").join(lengths, "size").fillna(0, [f"m{n}" for n in range(1, 5)])
     logs = [F.log(F.when(F.col(f"m{n}") == 0, 0.1).otherwise(F.col(f"m{n}")) / F.greatest(F.lit(1), F.col("size") - (n - 1))) for n in range(1, 5)]
     brevity = F.when(F.col("size") > F.col("closest"), 1.0).otherwise(F.exp(1 - F.col("closest") / F.col("size")))
     score = F.when(F.col("m1") == 0, 0.0).otherwise(brevity * F.exp((logs[0] + logs[1] + logs[2] + logs[3]) / 4))

@@ -18,9 +18,9 @@ def stand_in_label(text: Column, salt: str = "label") -> Column:
 
 
 def chunk_labels(texts: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, chunk_no, label and score of each chunk of characters."""
+    """key, chunk_no, label and score (in whole millionths) of each chunk of characters."""
     chunks = texts.select(key, F.posexplode(char_chunks(F.col("text"))).alias("chunk_no", "chunk"))
-    return chunks.select(key, "chunk_no", stand_in_label(F.col("chunk")).alias("label"), F.round(0.5 + hash_uniform(F.lit("score"), F.col("chunk")) / 2, 6).alias("score"))
+    return chunks.select(key, "chunk_no", stand_in_label(F.col("chunk")).alias("label"), ((500_000 + F.floor(hash_uniform(F.lit("score"), F.col("chunk")) * 500_000)) / 1e6).alias("score"))
 
 
 def majority(labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -37,7 +37,9 @@ def majority(labels: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def confident(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, label and confidence: most chunks, then the greatest mean score, then the label of the earliest chunk."""
-    votes = labels.where(F.col("label") != ERROR).groupBy(key, "label").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("confidence"), F.min("chunk_no").alias("first"))
+    # whole millionths add up the same in any order
+    mean = F.sum(F.round(F.col("score") * 1e6).cast("long")) / (F.count("*") * 1e6)
+    votes = labels.where(F.col("label") != ERROR).groupBy(key, "label").agg(F.count("*").alias("n"), mean.alias("confidence"), F.min("chunk_no").alias("first"))
     return votes.groupBy(key).agg(F.max_by(F.struct("label", "confidence"), F.struct("n", "confidence", -F.col("first"))).alias("best")).select(key, "best.*")
 
 

@@ -41,7 +41,7 @@ _BUDGET = f"""budget AS (
 def _candidates(attempt: int, source: str, number: int = 5) -> str:
     u = lambda what: f"round({_u(f"'{what}{attempt}'", 'doc_id', 'cand')}, 6)"
     return f"""SELECT doc_id, target, cand, {u('similarity')} AS similarity, CASE WHEN {u('label')} < 0.5 THEN 'negative' ELSE 'positive' END AS label,
-      round(0.5 + {u('confidence')} / 2, 6) AS confidence FROM {source}, range(1, {number + 1}) r(cand)"""
+      (500000 + floor({_u(f"'confidence{attempt}'", 'doc_id', 'cand')} * 500000)) / 1000000::DOUBLE AS confidence FROM {source}, range(1, {number + 1}) r(cand)"""
 
 
 def _chosen(attempt: int, noise: float = 0.0) -> str:
@@ -76,7 +76,7 @@ _CHUNKS = """chunks AS (
   FROM (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) <= 512 THEN 1 ELSE 1 + ceil((length(text) - 512) / 400)::BIGINT END)) AS k FROM documents WHERE length(text) > 0))"""
 _LABELS = f"""{_CHUNKS}, labelled AS (
   SELECT doc_id, chunk_no, CASE WHEN u < 0.45 THEN 'NEGATIVE' WHEN u < 0.9 THEN 'POSITIVE' WHEN u < 0.97 THEN 'NEUTRAL' ELSE 'ERROR' END AS label, score
-  FROM (SELECT *, {_u("'label'", 'chunk')} AS u, round(0.5 + {_u("'score'", 'chunk')} / 2, 6) AS score FROM chunks))"""
+  FROM (SELECT *, {_u("'label'", 'chunk')} AS u, (500000 + floor({_u("'score'", 'chunk')} * 500000)) / 1000000::DOUBLE AS score FROM chunks))"""
 _MAJORITY = f"""{_LABELS}, tally AS (SELECT doc_id, label, count(*) AS n FROM labelled WHERE label <> 'ERROR' GROUP BY ALL
 ), ranks AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) AS r, lead(n) OVER (PARTITION BY doc_id ORDER BY n DESC) AS second FROM tally
 ), final AS (SELECT doc_id, arg_max(label, chunk_no) FILTER (label <> 'ERROR') AS label FROM labelled GROUP BY doc_id
@@ -239,7 +239,7 @@ SQL: dict[str, str] = {
       FROM (SELECT a, b, count(*) AS n FROM (SELECT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT {_w()} AS w FROM documents))) GROUP BY ALL)""",
     "self_bleu": f"WITH {_GRAMS} SELECT sum(copies)::BIGINT AS n_texts, round(sum(copies * bleu) / sum(copies), 6) AS self_bleu FROM bleu",
     "sentiment_vote": f"WITH {_MAJORITY} SELECT doc_id, label FROM majority",
-    "sentiment_confidence": f"""WITH {_LABELS}, t AS (SELECT doc_id, label, count(*) AS n, round(avg(score), 6) AS confidence, min(chunk_no) AS first FROM labelled WHERE label <> 'ERROR' GROUP BY ALL)
+    "sentiment_confidence": f"""WITH {_LABELS}, t AS (SELECT doc_id, label, count(*) AS n, sum(round(score * 1000000)::BIGINT)::DOUBLE / (count(*) * 1000000)::DOUBLE AS confidence, min(chunk_no) AS first FROM labelled WHERE label <> 'ERROR' GROUP BY ALL)
       SELECT doc_id, label, confidence FROM t QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, confidence DESC, first) = 1""",
     "sentiment_match_rate": f"""WITH {_MAJORITY}, a AS (SELECT label, row_number() OVER (ORDER BY doc_id) AS pos FROM majority WHERE doc_id % 2 = 0), b AS (SELECT label, row_number() OVER (ORDER BY doc_id) AS pos FROM majority WHERE doc_id % 2 = 1),
       n AS (SELECT count(*) FILTER (a.label <> 'ERROR' AND b.label <> 'ERROR') AS total_pairs, count(*) FILTER (a.label <> 'ERROR' AND a.label = b.label) AS match_count FROM a JOIN b USING (pos))

@@ -26,10 +26,13 @@ def length_budget(texts: DataFrame, key: str = "doc_id", spread: float = 2.5, le
 
 
 def candidates(texts: DataFrame, number: int = 5, attempt: int = 1, key: str = "doc_id") -> DataFrame:
-    """Long form of candidates with scores from hashes: a stand-in for a summariser and its judges."""
+    """Long form of candidates with scores from hashes: a stand-in for a summariser and its judges.
+
+    Confidences are whole millionths, so that no rounding of halves decides them.
+    """
     u = lambda what: F.round(hash_uniform(F.lit(f"{what}{attempt}"), F.col(key), F.col("cand")), 6)
     rows = texts.select(key, "target", F.explode(F.sequence(F.lit(1), F.lit(number))).alias("cand"))
-    return rows.select(key, "target", "cand", u("similarity").alias("similarity"), F.when(u("label") < 0.5, "negative").otherwise("positive").alias("label"), F.round(0.5 + u("confidence") / 2, 6).alias("confidence"))
+    return rows.select(key, "target", "cand", u("similarity").alias("similarity"), F.when(u("label") < 0.5, "negative").otherwise("positive").alias("label"), ((500_000 + F.floor(hash_uniform(F.lit(f"confidence{attempt}"), F.col(key), F.col("cand")) * 500_000)) / 1e6).alias("confidence"))
 
 
 def abstraction(texts: DataFrame, epsilon: float | None = None, rows: int = 2, number: int = 5, key: str = "doc_id") -> DataFrame:

@@ -17,4 +17,4 @@ def assert_same(got: pd.DataFrame, want: pd.DataFrame) -> None:
     assert len(a) == len(b)
     for x, y in zip(a, b, strict=True):
         for p, q in zip(x, y, strict=True):
-            assert p == q or (isinstance(p, float) and isinstance(q, float) and abs(p - q) <= 2e-6 * max(1.0, abs(q))), (x, y)
+            assert p == q, (x, y)
