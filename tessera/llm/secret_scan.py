@@ -1,14 +1,20 @@
 """Secrets in texts: fixed patterns, and a linear-chain conditional random field over tokens.
 
-The field labels tokens as begin of a secret, inside one or outside, from their shape, their
-neighbouring words and features of the whole file, and is decoded by Viterbi. Only tokens of at
-least eight characters that hold a digit, or are long and mix upper and lower case, may be part of a
-secret: that is a constraint of the field. All other tokens are outside, which cuts the chain, so
-that each run of adjacent candidates can be decoded alone without changing the best labelling.
+The field labels every token of a text as begin of a secret, inside one or outside, from its shape
+(length, kinds of characters, how usual its letters are side by side), its neighbouring words (words
+that name secrets or that explain long numbers, marks between tokens) and features of the whole file,
+and is decoded by Viterbi.
+
+Decoding cuts the chain where that changes nothing. A token at t is outside in every best labelling if
+
+    score(t, outside) - max(score(t, begin), score(t, inside)) > 3 R + max(0, score(t+1, inside) - score(t+1, begin))
+
+where R is the range of the permitted moves: making it outside changes three moves at most, and turns
+an inside that follows into a begin. Only what lies between such tokens is decoded.
 
 It learns from two sources: lines made from a seed, with secrets and with look-alikes (dates,
-versions, addresses, identifiers, checksums), and a bounded sample of documents whose tokens are
-labelled by the fixed patterns.
+versions, addresses, identifiers, checksums, sentences about passwords), and windows of a bounded
+sample of documents whose tokens are labelled by the fixed patterns.
 """
 
 from __future__ import annotations
@@ -17,7 +23,6 @@ import base64
 import random
 import re
 from collections.abc import Iterator
-from math import log, log2
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import crf
 from tessera.llm.shared import sized
+from tessera.llm.text import blocks, utf8
 
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 #: Kinds in the order in which spans with one start are listed.
@@ -35,15 +41,28 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]{14,}"), re.compile(r"[0-9a-f]{16,}")
 
-_TOKEN = re.compile(r"[A-Za-z0-9+/_.=~-]{8,}")
-_DIGIT = re.compile(r"[0-9]")
-_CUES = re.compile(r"passw|passphrase|pwd|secret|token|api.?key|auth|bearer|credential|private|access.?key|client.?id|signature|account.?key")
-_FAMILIAR = re.compile(r"commit|sha-?\d|md5|checksum|digest|uuid|version|isbn|phone|tel\b|card|order|invoice|serial|hash|revision|build|https?:|www|file|date")
-_PREFIX = re.compile(r"gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sp]k[-_]|AIza|eyJ|SG\.|ya29\.|npm_|hf_|A[KS]IA|MII|dop_v1_|shp(?:at|ss)_")
-_CODE = re.compile(r"[{}()\[\];=<>\"'#]")
-_WORD = re.compile(r"[^\W\d_]+$")
-#: Characters before and after a token in which its neighbouring words are read.
-_NEAR = 48
+# what tokens that name secrets, or that explain long numbers, hold; and beginnings of well-known keys
+_CUES = b"passw passphrase passcode pass\x00code pass_code pwd secret token api_key apikey api\x00key api-key auth bearer credential private access_key access-key accesskey access\x00key client_id client\x00id clientid signature accountkey account_key".replace(b" ", b"\n").replace(b"\x00", b" ").split(b"\n")
+_FAMILIAR = b"commit sha1 sha2 sha- md5 checksum digest uuid version isbn phone tel card order invoice serial hash revision build http www file date".split()
+_PREFIX = b"ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- xoxa xoxb xoxp xoxr xoxs sk- sk_ pk- pk_ aiza eyj sg. ya29. npm_ hf_ akia asia dop_v1_ shpat_ shpss_".split()
+_ARMOUR = re.compile(rb"-----begin[a-z ]* private key-----(.*?)(?:-----end|\Z)", re.DOTALL)
+
+
+def _table(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars)] = True
+    return out
+
+
+_BETWEEN = _table(b" \t\r\n\x0b\x0c\"'`=:,;()[]{}<>|")
+_DIGITS, _UPPER, _LOWER = _table(b"0123456789"), _table(bytes(range(65, 91))), _table(bytes(range(97, 123)))
+_KIND = np.full(256, 3)
+_KIND[_DIGITS], _KIND[_UPPER], _KIND[_LOWER] = 0, 1, 2
+_HEXADECIMAL, _VOWELS, _CODE = _table(b"0123456789abcdef"), _table(b"aeiouAEIOU"), _table(b"{}()[];=<>\"'#")
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[65:91] += 32
+#: Bounds of the lengths that are features.
+_LENGTHS = (1, 2, 4, 6, 8, 12, 16, 20, 28, 36, 44, 80, 1 << 60)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -58,113 +77,161 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _shape(token: str) -> list[float]:
-    n = len(token)
-    digits, upper = sum(c.isdigit() for c in token), sum(c.isupper() for c in token)
-    lower = sum(c.islower() for c in token)
-    marks = n - digits - upper - lower
-    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "m" for c in token]
-    turns = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
-    counts = {c: token.count(c) for c in set(token)}
-    entropy = -sum(k / n * log2(k / n) for k in counts.values())
-    parts = [p for p in re.split(r"[+/_.=~-]+", token) if p]
-    wordy = sum(len(p) for p in parts if _WORD.match(p) and (p.islower() or p[1:].islower() or p.isupper())) / n
-    vowels = sum(c in "aeiouAEIOU" for c in token)
-    return [
-        log(n) / 4,
-        *(float(lo <= n < hi) for lo, hi in ((8, 12), (12, 16), (16, 20), (20, 28), (28, 36), (36, 44), (44, 80), (80, 1 << 62))),
-        digits / n,
-        upper / n,
-        lower / n,
-        marks / n,
-        turns / n,
-        entropy / 5,
-        entropy / log2(n),
-        wordy,
-        vowels / max(1, upper + lower),
-        float(digits == n),
-        float(digits > 0 and upper > 0 and lower > 0),
-        float(all(c in "0123456789abcdef" for c in token)),
-        float(digits + token.count(".") + token.count("-") + token.count("/") == n),
-        float(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", token) is not None),
-        float(re.search(r"\.[a-z]{1,4}$", token) is not None),
-        token.count("/") / n,
-        float(token.endswith("=")),
-        float(_PREFIX.match(token) is not None),
-    ]
-
-
-def _file(text: str, tokens: int) -> list[float]:
-    """Of the whole text: share of code marks, lines, density of candidates, key armour."""
-    n = max(1, len(text))
-    return [min(1.0, 10 * len(_CODE.findall(text)) / n), log(text.count("\n") + 1) / 8, min(1.0, 50 * tokens / n), float("PRIVATE KEY-----" in text)]
-
-
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Places of the tokens that may be part of a secret."""
-    out = []
-    for m in _TOKEN.finditer(text):
-        token, (a, b) = m[0], m.span()
-        # a name before an equals sign is no part of the value
-        cut = token.rstrip("=").rfind("=") + 1
-        token, a = token[cut:], a + cut
-        if len(token) < 8:
-            continue
-        if not _DIGIT.search(token) and (len(token) < 20 or token.islower() or token.isupper() or sum(c.isupper() for c in token) < 4):
-            continue
-        if (a and text[a - 1].isalpha()) or (b < len(text) and text[b].isalpha()):
-            continue
-        out.append((a, b))
-    return out
-
-
-def features(text: str, places: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of each candidate, and whether it begins a run of adjacent candidates."""
-    whole = _file(text, len(places))
-    joined = [b0 == a1 or not text[b0:a1].strip(" \t\r\n\"'") for (_, b0), (a1, _) in zip(places, places[1:], strict=False)]
-    rows, first = [], np.array([True, *(not j for j in joined)][: len(places)], bool)
-    for i, (a, b) in enumerate(places):
-        before, after = text[max(0, a - _NEAR) : a].lower(), text[b : b + _NEAR].lower()
-        line = before.rpartition("\n")[2]
-        left, right = before[-1:], after[:1]
-        near = [
-            float(_CUES.search(line) is not None),
-            float(_CUES.search(before) is not None),
-            float(_CUES.search(after) is not None),
-            float(_FAMILIAR.search(line) is not None),
-            float(line.rstrip(" \"'`").endswith(("=", ":", ">"))),
-            float(left in "\"'`" and right in "\"'`" and left != ""),
-            float(left in "@/:" and left != ""),
-            float(right in "@:" and right != ""),
-            float(left in ("", "\n")),
-            float("-----" in before),
-        ]
-        last = i + 1 == len(places) or not joined[i]
-        cue = near[0]
-        shape = _shape(text[a:b])
-        rows.append([*shape, *near, *whole, cue * shape[15], cue * shape[14], float(first[i]), float(last), 1.0])
-    return np.array(rows).reshape(len(rows), WIDTH), first
-
-
-WIDTH = len(_shape("a1b2c3d4")) + 10 + 4 + 5
-
-
-def _runs(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start = np.flatnonzero(first)
-    return start, np.diff(np.r_[start, len(first)])
+class Tokens:
+    """The tokens of a block of texts: start and end byte, document, and bytes as given and folded."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data, self.offsets, self.folded = data, offsets, _FOLDED[data]
+        self.raw = self.folded.tobytes()
+        inside = ~_BETWEEN[data]
+        begin, stop = inside.copy(), inside.copy()
+        begin[1:] &= ~inside[:-1]
+        stop[:-1] &= ~inside[1:]
+        edge = offsets[:-1][(offsets[:-1] > 0) & (offsets[:-1] < len(data))]
+        begin[edge] = inside[edge]
+        stop[edge - 1] = inside[edge - 1]
+        self.start, self.end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+        # full stops and the like at the end of a sentence are no part of a token
+        tail = _table(b".!?")
+        for _ in range(3):
+            self.end -= tail[data[self.end - 1]] & (self.end - self.start > 1)
+        self.doc = np.searchsorted(offsets, self.start, "right") - 1
+        self.first = np.r_[True, self.doc[1:] != self.doc[:-1]] if len(self.doc) else np.zeros(0, bool)
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def touched(self, spans: list[tuple[int, int]]) -> np.ndarray:
+        """Which tokens a span of bytes touches."""
+        out, at = np.zeros(len(self) + 1, np.int64), np.array(spans, np.int64).reshape(-1, 2)
+        lo, hi = np.searchsorted(self.end, at[:, 0], "right"), np.searchsorted(self.start, at[:, 1], "left")
+        np.add.at(out, lo[hi > lo], 1)
+        np.add.at(out, hi[hi > lo], -1)
+        return np.cumsum(out)[:-1] > 0
+
+    def holding(self, parts: list[bytes]) -> np.ndarray:
+        """Which tokens touch one of the strings in the folded bytes."""
+        spans = []
+        for part in parts:
+            at = self.raw.find(part)
+            while at >= 0:
+                spans.append((at, at + len(part)))
+                at = self.raw.find(part, at + len(part))
+        return self.touched(spans)
+
+
+def usual_pairs(texts: list[str]) -> np.ndarray:
+    """Log shares of neighbouring folded bytes inside tokens, from texts; a table of 65536."""
+    seen = np.full(65536, 0.2)
+    for text in texts:
+        data = _FOLDED[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+        if len(data) > 1:
+            inner = ~_BETWEEN[data]
+            pair = data[:-1].astype(np.int64) << 8 | data[1:]
+            seen += np.bincount(pair[inner[1:] & inner[:-1]], minlength=65536)
+    given = seen.reshape(256, 256)
+    return (np.log(given / given.sum(1, keepdims=True)) + 5.5).ravel() / 3
+
+
+def features(t: Tokens, usual: np.ndarray) -> np.ndarray:
+    """A row of features for each token; neighbours are those of the same text."""
+    n, data = len(t), t.data
+    size = (t.end - t.start).astype(float)
+
+    def counted(flags: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(flags) + 1, np.int32)
+        np.cumsum(flags, out=sums[1:], dtype=np.int32)
+        return (sums[t.end] - sums[t.start]).astype(float)
+
+    digits, upper, lower = counted(_DIGITS[data]), counted(_UPPER[data]), counted(_LOWER[data])
+    marks = size - digits - upper - lower
+    kind = _KIND[data]
+    turn = np.r_[kind[1:] != kind[:-1], False] if len(data) else np.zeros(0, bool)
+    sums = np.r_[0, np.cumsum(turn)]
+    turns = (sums[t.end - 1] - sums[t.start]) / size
+    pair = t.folded[:-1].astype(np.int64) << 8 | t.folded[1:]
+    sums = np.r_[0, np.cumsum(usual[pair])] if len(pair) else np.zeros(1)
+    odd = -(sums[np.maximum(t.end - 1, t.start)] - sums[t.start]) / np.maximum(1, size - 1)
+    hexadecimal, dated = counted(_HEXADECIMAL[data]) == size, counted((_DIGITS | _table(b".-/+:"))[data]) == size
+    letters = upper + lower
+    vowels = counted(_VOWELS[data]) / np.maximum(1, letters)
+
+    def before(x: np.ndarray, k: int) -> np.ndarray:
+        out = np.zeros(n)
+        if k < n:
+            out[k:] = x[:-k] * (t.doc[k:] == t.doc[:-k])
+        return out
+
+    def after(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        out[:-1] = x[1:] * (t.doc[1:] == t.doc[:-1])
+        return out
+
+    cue, familiar = t.holding(_CUES).astype(float), t.holding(_FAMILIAR).astype(float)
+    near = np.maximum.reduce([before(cue, 1), before(cue, 2), before(cue, 3)])
+    far = np.maximum.reduce([before(cue, 4), before(cue, 5), before(cue, 6)])
+    known = np.maximum(before(familiar, 1), before(familiar, 2))
+    # marks right before and right after, and those between this token and the last
+    lead = data[np.maximum(t.start - 1, 0)]
+    lead = np.where((t.start > 0) & (t.offsets[t.doc] < t.start), lead, 10)
+    trail = data[np.minimum(t.end, len(data) - 1)]
+    trail = np.where(t.end < t.offsets[t.doc + 1], trail, 10)
+    last = np.r_[0, t.end[:-1]]
+    last = np.where(t.first, t.offsets[t.doc], last)
+    gap = lambda table: (lambda c: c[t.start] > c[last])(np.r_[0, np.cumsum(table[data])])
+    assigned, broken = gap(_table(b"=:>")), gap(_table(b"\n"))
+    quoted = _table(b"\"'`")[lead] & _table(b"\"'`")[trail]
+    armour = t.touched([m.span(1) for m in _ARMOUR.finditer(t.raw)])
+    prefix = t.holding(_PREFIX) & (counted(_DIGITS[data]) > 0) & (size >= 16)
+    mixed = (digits > 0) & (letters > 0)
+    m = len(t.offsets) - 1
+    per = lambda flags: np.add.reduceat(np.r_[flags.astype(float), 0], np.minimum(t.offsets[:-1], len(flags)))[:m] * (np.diff(t.offsets) > 0)
+    whole = np.maximum(1, np.diff(t.offsets))
+    code = np.minimum(1, 10 * per(_CODE[data]) / whole)[t.doc] if n else np.zeros(0)
+    dense = np.minimum(1, np.bincount(t.doc, mixed & (size >= 8), m) * 50 / whole)[t.doc] if n else np.zeros(0)
+    long = size >= 8
+    context = np.maximum(near, 0.5 * far)
+    columns = [
+        *((size >= lo) & (size < hi) for lo, hi in zip(_LENGTHS, _LENGTHS[1:], strict=False)),
+        digits / size, upper / size, lower / size, marks / size, turns, odd, odd * long, vowels,
+        digits == size, mixed, mixed & long, (digits > 0) & (upper > 0) & (lower > 0), hexadecimal & long, hexadecimal & (size >= 32), dated,
+        (size == 36) & (marks == 4) & (digits > 6), letters == size, (lower == size) | ((upper <= 1) & (letters == size)),
+        cue, near, far, before(cue, 1), after(cue), known, known * hexadecimal, assigned, near * assigned, before(cue, 1) * assigned, broken, quoted, quoted * near,
+        np.isin(lead, [64, 47]), trail == 64, armour, armour & (size >= 20), prefix,
+        context * odd, context * mixed, context * (digits > 0) * (size >= 6), context * (marks > 0) * (letters > 0) * (size >= 10), context * (letters == size), context * long, context * (size < 6),
+        (odd > 0.2) & mixed & (size >= 16), (odd > 0.2) & mixed & (size >= 20) & (hexadecimal == 0) & (marks < 4), before(mixed & long, 1), after(mixed & long), code, dense, np.ones(n),
+    ]
+    out = np.empty((len(columns), n), np.float32)
+    for i, c in enumerate(columns):
+        out[i] = c
+    return out.T
 
 
 def _emit(x: np.ndarray, params: np.ndarray, first: np.ndarray) -> np.ndarray:
-    score = x @ params
+    score = x @ params.astype(np.float32)
     # nothing is inside before a begin
     score[first, INSIDE] = -20
-    return score
+    return score.astype(float)
 
 
 #: From label to label: inside follows begin or inside only.
 _ALLOWED = np.array([[True, True, False], [True, True, True], [True, True, True]])
 
 
+#: Sentences that name secrets and hold none, and plain words.
+_TALK = (
+    "your password is required to continue", "the token was lost", "reset the password today", "a secret of the trade", "the api key rotation policy", "password must not be empty", "keep it private and secret",
+    "token expired yesterday", "private property", "a bearer of good news", "passwords are hashed", "the secret is kindness", "password is too short", "an auth token is issued after login", "signature of the author", "credentials were revoked in 2019",
+    "secret meeting on 12 May", "token ring network", "access key holders only", "password protected file", "the password is never stored", "private school number 7", "client id missing", "the signature is invalid", "password changed 3 times",
+)
+_PROSE = (
+    "the of and to in is that it was for on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more "
+    "her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know get through back much before go good new write our used me man too any day same right look "
+    "think also around another came come work three word must because does part even place well such here take why things help put years different away again off went old number great tell men say small every found still between name should home big give air line set own under read "
+    "correct horse battery staple sunshine dragon monkey silver garden planet coffee river mountain window summer winter orange purple castle bridge rocket"
+)
+
+
 def made_lines(count: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int]]]]:
     """Texts made from a seed, and the places of their secrets."""
     r = random.Random(seed)
@@ -172,6 +239,8 @@ def made_lines(count: int, seed: int = 11) -> list[tuple[str, list[tuple[int, in
     some = lambda chars, lo, hi: "".join(r.choice(chars) for _ in range(r.randint(lo, hi)))
     b64 = lambda lo, hi: base64.b64encode(r.randbytes(r.randint(lo, hi))).decode()
     word = lambda: some("aeioulnrst", 2, 9)
+    vocabulary = _PROSE.split()
+    plain_word = lambda: r.choice(vocabulary)
     url64 = lambda n: base64.urlsafe_b64encode(r.randbytes(n)).decode().rstrip("=")
     secret = [
         lambda: some(alnum, 20, 64),
@@ -182,6 +251,13 @@ def made_lines(count: int, seed: int = 11) -> list[tuple[str, list[tuple[int, in
         lambda: some("0123456789ABCDEF", 32, 64),
         lambda: some(alnum + "+/_-", 12, 24),
     ]
+    chosen = [
+        lambda: word() + str(r.randint(1, 9999)),
+        lambda: "-".join(plain_word() for _ in range(r.randint(3, 5))),
+        lambda: plain_word().capitalize() + str(r.randint(10, 99)) + r.choice("!$#%&"),
+        lambda: some(alnum, 6, 12),
+        lambda: plain_word().replace("o", "0").replace("e", "3").replace("a", "@") + str(r.randint(0, 99)),
+    ]
     plain = [
         lambda: f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}",
         lambda: f"{r.randint(1, 20)}.{r.randint(0, 99)}.{r.randint(100, 9999)}",
@@ -201,8 +277,14 @@ def made_lines(count: int, seed: int = 11) -> list[tuple[str, list[tuple[int, in
         text, places = "", []
         for _ in range(r.randint(1, 4)):
             kind = r.random()
-            prose = " ".join(word() for _ in range(r.randint(0, 10)))
-            if kind < 0.4:
+            prose = " ".join((word if r.random() < 0.5 else plain_word)() for _ in range(r.randint(0, 10)))
+            if kind < 0.15:
+                s = r.choice(chosen)()
+                pre, _, post = r.choice(["password is {}", "passphrase is {}", "my pwd: {}", "the password {} ", "login with password {} today", "Passwort/password={}", "pass code {}", "secret is '{}'", "credentials admin {}", "PASSWORD: {}", "passphrase \"{}\""]).partition("{}")
+                text += prose + " " + pre
+                places.append((len(text), len(text) + len(s)))
+                text += s + post
+            elif kind < 0.4:
                 s = r.choice(secret)()
                 lead = r.choice(["password = '{}'", 'secret: "{}"', "API key is {}", "Authorization: Bearer {}", "export AUTH_TOKEN={}", "client_secret={}", "private key {}", '"access_key": "{}",', "credentials {}", "signature={}", "pwd={};"])
                 if r.random() < 0.15:
@@ -222,6 +304,8 @@ def made_lines(count: int, seed: int = 11) -> list[tuple[str, list[tuple[int, in
             elif kind < 0.55:
                 digest = some("0123456789abcdef", 40, 40) if r.random() < 0.5 else some("0123456789abcdef", 64, 64)
                 text += f"{prose} {r.choice(['commit', 'sha256', 'md5 checksum', 'revision', 'digest:'])} {digest} {word()}"
+            elif kind < 0.7:
+                text += f"{prose} {r.choice(_TALK)} {prose}"
             else:
                 text += f"{prose} {r.choice(['', 'version', 'id', 'tel', 'date:', 'see', 'file', 'order', 'from', 'card'])} {r.choice(plain)()} {prose}"
             text += "\n" if r.random() < 0.7 else " "
@@ -229,57 +313,139 @@ def made_lines(count: int, seed: int = 11) -> list[tuple[str, list[tuple[int, in
     return out
 
 
-def fit_field(texts: list[str], made: int = 1500, steps: int = 120) -> tuple[np.ndarray, np.ndarray]:
-    """Parameters and moves, from made lines and from `texts` as the fixed patterns label them.
+#: Tokens of a window of the fitting sample, and how many before one that may tell something.
+_WINDOW, _LEAD = 24, 8
+
+
+def _secrets_of(text: str) -> list[tuple[int, int]]:
+    """Places that the fixed patterns take for secrets, names left out.
 
     Digits alone are never taken for a secret here, and in prose a hexadecimal token that no word
     explains counts as one only from 32 characters on.
     """
-    xs, firsts, labels = [], [], []
-    known = [(t, places, False) for t, places in made_lines(made)]
-    for text in texts:
-        spans = [(a, b) for a, kind, b in base_spans(text) if kind < 2 or (b - a >= 32 and not text[a:b].isdigit())]
-        known.append((text, spans, True))
-    for text, spans, weak in known:
-        places = candidates(text)
-        if not places:
-            continue
-        x, first = features(text, places)
-        y, k = np.zeros(len(places), np.int64), 0
-        for i, (a, b) in enumerate(places):
-            while k < len(spans) and spans[k][1] <= a:
-                k += 1
-            if k < len(spans) and spans[k][0] < b:
-                y[i] = INSIDE if not weak and i and not first[i] and y[i - 1] else BEGIN
-        xs.append(x)
-        firsts.append(first)
-        labels.append(y)
-    x, first, y = np.concatenate(xs), np.concatenate(firsts), np.concatenate(labels)
+    found = [m.span(2) for m in _ASSIGN.finditer(text) if len(m[2]) >= 12] + [m.span() for m in _ACCESS.finditer(text)]
+    return sorted(found + [m.span() for m in _HEX.finditer(text) if len(m[0]) >= 32 and not m[0].isdigit()])
+
+
+def _labelled(known: list[tuple[str, list[tuple[int, int]]]], usual: np.ndarray, weak: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, first flags and labels of the tokens; of weakly labelled texts in windows only."""
+    raw = [t.encode("utf-8", "surrogatepass") for t, _ in known]
+    offsets = np.r_[0, np.cumsum([len(x) for x in raw])].astype(np.int64)
+    t = Tokens(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    x, y = features(t, usual), np.zeros(len(t), np.int64)
+    for i, (text, places) in enumerate(known):
+        for a, b in places:
+            a, b = (offsets[i] + len(text[:k].encode("utf-8", "surrogatepass")) for k in (a, b))
+            lo, hi = np.searchsorted(t.end, a, "right"), np.searchsorted(t.start, b, "left")
+            y[lo:hi] = INSIDE
+            y[lo : lo + 1] = BEGIN
+    first = t.first
+    if weak and len(t):
+        # a window begins a little before each token with a digit, a cue or a label that no window holds yet, and at every hundredth token
+        cue = t.holding(_CUES)
+        telling = np.flatnonzero((x[:, len(_LENGTHS) - 1] > 0) | cue | (y > 0) | (np.arange(len(t)) % 100 == 0))
+        keep, reach = np.zeros(len(t), bool), -1
+        first = first.copy()
+        for at in telling:
+            if at > reach:
+                a = max(at - _LEAD, reach + 1)
+                first[a] = True
+                reach = a + _WINDOW - 1
+                keep[a : a + _WINDOW] = True
+                first[a + _WINDOW : a + _WINDOW + 1] = True
+        x, y, first, cue = x[keep], y[keep], first[keep], cue[keep]
+        # what follows a cue and no pattern takes for a secret may be one: such windows say nothing
+        start, size = _runs(first)
+        known = np.repeat((np.add.reduceat(y, start) > 0) | (np.add.reduceat(cue.astype(np.int64), start) == 0), size) if len(start) else np.zeros(0, bool)
+        x, y, first = x[known], y[known], first[known]
+    return x, first, y
+
+
+def _runs(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = np.flatnonzero(first)
+    return start, np.diff(np.r_[start, len(first)])
+
+
+#: Tokens of weakly labelled windows at most.
+_WEAK = 40_000
+
+
+def fit_field(texts: list[str], made: int = 1500, steps: int = 80) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parameters, moves and the table of usual pairs, from made lines and from `texts` as the fixed patterns label them."""
+    lines = made_lines(made)
+    usual = usual_pairs([*texts, *(t for t, _ in lines)] if len(texts) > 20 else [_PROSE, *texts])
+    parts = [_labelled(lines, usual, False)]
+    if texts:
+        x, first, y = _labelled([(t, _secrets_of(t)) for t in texts], usual, True)
+        # windows with labels first, then the others in order
+        start, size = _runs(first)
+        has = np.add.reduceat(y, start) > 0 if len(start) else np.zeros(0, bool)
+        order = np.argsort(~has, kind="stable")
+        order = np.sort(order[np.cumsum(size[order]) <= _WEAK])
+        rows = np.concatenate([np.arange(start[i], start[i] + size[i]) for i in order]) if len(order) else np.zeros(0, np.int64)
+        parts.append((x[rows], first[rows], y[rows]))
+    x, first, y = (np.concatenate(c) for c in zip(*parts, strict=True))
     start, size = _runs(first)
-    return crf.fit(lambda p: _emit(x, p, first), lambda g: x.T @ np.where(np.arange(3) == INSIDE, g * ~first[:, None], g), np.zeros((WIDTH, 3)), 3, y, start, size, steps, 1e-4, _ALLOWED, 0.1)
-
-
-def field_spans(text: str, params: np.ndarray, move: np.ndarray) -> list[tuple[int, int]]:
-    """Places of what the field takes for secrets, each from a begin to its last inside token."""
-    places = candidates(text)
-    if not places:
-        return []
-    x, first = features(text, places)
-    labels = crf.viterbi(_emit(x, params, first), *_runs(first), move)
-    out: list[tuple[int, int]] = []
-    for (a, b), label in zip(places, labels, strict=True):
-        if label == BEGIN:
-            out.append((a, b))
-        elif label == INSIDE:
-            out[-1] = (out[-1][0], b)
+    slope = lambda g: x.T @ np.where(np.arange(3) == INSIDE, g * ~first[:, None], g).astype(np.float32)
+    params, move = crf.fit(lambda p: _emit(x, p, first), slope, np.zeros((x.shape[1], 3)), 3, y, start, size, steps, 1e-5, _ALLOWED, 0.1)
+    return params, move, usual
+
+
+def decoded(score: np.ndarray, first: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """The best labels of all tokens, found between those that are outside in every best labelling."""
+    n = len(score)
+    if not n:
+        return np.zeros(0, np.int64)
+    allowed = move[_ALLOWED]
+    following = np.r_[np.where(first[1:], 0, np.maximum(0, score[1:, INSIDE] - score[1:, BEGIN])), 0]
+    sure = score[:, OUTSIDE] - score[:, 1:].max(1) > 3 * (allowed.max() - allowed.min()) + following
+    # a run takes the sure tokens on both sides, so that moves from and to outside count
+    near = ~sure
+    near[:-1] |= ~sure[1:] & ~first[1:]
+    near[1:] |= ~sure[:-1] & ~first[1:]
+    at = np.flatnonzero(near)
+    labels = np.zeros(n, np.int64)
+    if len(at):
+        own = score[at].copy()
+        own[sure[at], 1:] = -1e6
+        begin = np.r_[True, (at[1:] != at[:-1] + 1) | first[at[1:]] | (sure[at[1:]] & sure[at[:-1]])]
+        labels[at] = crf.viterbi(own, *_runs(begin), move)
+    return labels
+
+
+def _block_spans(data: np.ndarray, offsets: np.ndarray, params: np.ndarray, move: np.ndarray, usual: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Of each text the places (code points) of what the field takes for secrets, each from a begin to its last inside token."""
+    t = Tokens(data, offsets)
+    labels = decoded(_emit(features(t, usual), params, t.first), t.first, move)
+    out: list[list[tuple[int, int]]] = [[] for _ in range(len(offsets) - 1)]
+    found = np.flatnonzero(labels)
+    if len(found):
+        points = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+        for k in found:
+            doc, a, b = t.doc[k], t.start[k], t.end[k]
+            # padding belongs to what it ends
+            while b < offsets[doc + 1] and data[b] == 61 and b - t.end[k] < 2:
+                b += 1
+            base = points[offsets[doc]]
+            a, b = int(points[a] - base), int(points[b] - base)
+            if labels[k] == BEGIN:
+                out[doc].append((a, b))
+            else:
+                out[doc][-1] = (out[doc][-1][0], b)
     return out
 
 
-def all_spans(text: str, params: np.ndarray, move: np.ndarray) -> list[tuple[int, int, int]]:
+def field_spans(text: str, params: np.ndarray, move: np.ndarray, usual: np.ndarray) -> list[tuple[int, int]]:
+    """_block_spans of one text."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    return _block_spans(raw, np.array([0, len(raw)]), params, move, usual)[0]
+
+
+def all_spans(text: str, field: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """base_spans, and the field's spans that overlap none of them."""
     base = base_spans(text)
     added, k, reach = [], 0, 0
-    for a, b in field_spans(text, params, move):
+    for a, b in field:
         while k < len(base) and base[k][0] < b:
             reach = max(reach, base[k][2])
             k += 1
@@ -312,12 +478,15 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        params, move = shared.value
         for batch in batches:
+            data, offsets = utf8(batch.column(1))
             rows = []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                rows.append([{"kind": KINDS[k], "start": a, "end": b, "value": text[a:b]} for a, k, b in all_spans(text, params, move)])
+            for lo, hi in blocks(offsets):
+                base = offsets[lo]
+                found = _block_spans(data[base : offsets[hi]], offsets[lo : hi + 1] - base, *shared.value)
+                for text, field in zip(batch.column(1).slice(lo, hi - lo), found, strict=True):
+                    text = text.as_py() or ""
+                    rows.append([{"kind": KINDS[k], "start": a, "end": b, "value": text[a:b]} for a, k, b in all_spans(text, field)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(kind))], ["doc_id", "spans"])
 
     return docs.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long,value:string>>")

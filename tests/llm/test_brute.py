@@ -262,32 +262,82 @@ def test_fixed_patterns(spark, sf):
         assert [s for s in r["spans"].split(",") if s and not s.startswith("field:")] == [s for s in listed.split(",") if s]
 
 
-def test_field_finds_made_secrets():
-    params, move = secret_scan.fit_field([])
-    hit = miss = false = 0
+@pytest.fixture(scope="module")
+def field():
+    return secret_scan.fit_field([])
+
+
+def test_field_finds_made_secrets(field):
+    """Held-out made lines; about half of the secrets match no fixed pattern."""
+    hit, all_, false = Counter(), Counter(), 0
     for text, places in secret_scan.made_lines(300, seed=5):
-        got = secret_scan.field_spans(text, params, move)
+        got, base = secret_scan.field_spans(text, *field), [(a, b) for a, _, b in secret_scan.base_spans(text)]
         meets = lambda x, ys: any(x[0] < b and a < x[1] for a, b in ys)
-        hit += sum(meets(p, got) for p in places)
-        miss += sum(not meets(p, got) for p in places)
+        for p in places:
+            hit[meets(p, base)] += meets(p, got)
+            all_[meets(p, base)] += 1
         false += sum(not meets(g, places) for g in got)
-    assert hit / (hit + miss) > 0.95 and false <= 0.05 * hit
-    assert secret_scan.field_spans("released on 2024-01-12, version 1.23.4567, id 550e8400-e29b-41d4-a716-446655440000", params, move) == []
+    assert all_[False] > 200 and hit[False] / all_[False] > 0.95 and hit[True] / all_[True] > 0.95
+    assert false <= 0.03 * sum(hit.values())
+
+
+def test_field_by_neighbouring_words(field):
+    one = lambda text: [text[a:b] for a, b in secret_scan.field_spans(text, *field)]
+    assert one("password is hunter2") == ["hunter2"]
+    assert one("my passphrase is correct-horse-battery ok") == ["correct-horse-battery"]
+    assert one("the password is required, and the token was lost") == []
+    assert one("released on 2024-01-12, version 1.23.4567, id 550e8400-e29b-41d4-a716-446655440000") == []
+    assert secret_scan.field_spans("é日本 password is hunter2", *field) == [(16, 23)]
 
 
-def test_decoding_by_runs_is_exact():
-    """Viterbi over runs of candidates equals the best labelling of the whole run by trying all."""
+def test_planted_secrets_come_out_of_the_query(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 200")
+    planted = docs.withColumn("text", F.concat("text", F.lit("\nmy passphrase is correct-horse-battery\n"), "text"))
+    rows = secret_scan.secret_spans(planted).select(F.expr("exists(spans, s -> s.kind = 'field' and s.value = 'correct-horse-battery')").alias("hit"), F.expr("size(filter(spans, s -> s.kind = 'field'))").alias("n")).collect()
+    assert sum(r["hit"] for r in rows) >= 0.95 * len(rows)
+    assert sum(r["n"] for r in rows) <= 1.05 * len(rows)
+
+
+def test_decoding_is_exact(field):
+    """Labels found between tokens that must be outside equal those of the whole chain, and those of trying all."""
+    from itertools import product
+
+    params, move, usual = field
+    texts = [t for t, _ in secret_scan.made_lines(60, seed=9)]
+    raw = [t.encode() for t in texts]
+    t = secret_scan.Tokens(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])])
+    score = secret_scan._emit(secret_scan.features(t, usual), params, t.first)
+    r = np.random.default_rng(2)
+    for noise in (0, 3, 9):
+        noisy = score + r.normal(size=score.shape) * noise
+        noisy[t.first, secret_scan.INSIDE] = -20
+        start, size = secret_scan._runs(t.first)
+        whole = secret_scan.crf.viterbi(noisy, start, size, move)
+        assert (secret_scan.decoded(noisy, t.first, move) == whole).all()
+    short = noisy[:7].copy()
+    value = lambda y: sum(short[i, k] for i, k in enumerate(y)) + sum(move[p, q] for p, q in zip(y, y[1:], strict=False))
+    got = secret_scan.crf.viterbi(short, np.array([0]), np.array([7]), move)
+    assert value(tuple(got)) == pytest.approx(max(map(value, product(range(3), repeat=7))))
+
+
+def test_marginals_equal_enumeration():
     from itertools import product
 
-    params, move = secret_scan.fit_field([], made=200, steps=30)
-    text = "key abcdefgh12345678 zyxwvuts87654321 4f4f4f4f4f4f4f4f4f4f\n11112222 and 2024-01-12"
-    x, first = secret_scan.features(text, secret_scan.candidates(text))
-    score = secret_scan._emit(x, params, first)
-    start, size = secret_scan._runs(first)
-    got = secret_scan.crf.viterbi(score, start, size, move)
-    for a, n in zip(start, size, strict=True):
-        value = lambda y, a=a: sum(score[a + i, k] for i, k in enumerate(y)) + sum(move[p, q] for p, q in zip(y, y[1:], strict=False))
-        assert value(tuple(got[a : a + n])) == pytest.approx(max(map(value, product(range(3), repeat=int(n)))))
+    r = np.random.default_rng(6)
+    score, move = r.normal(size=(9, 3)), r.normal(size=(3, 3))
+    start, size = np.array([0, 4, 5]), np.array([4, 1, 4])
+    z, prob, moved = secret_scan.crf.marginals(score, start, size, move)
+    wanted, moves = np.zeros((9, 3)), np.zeros((3, 3))
+    for i, (a, n) in enumerate(zip(start, size, strict=True)):
+        weight = {y: np.exp(sum(score[a + k, c] for k, c in enumerate(y)) + sum(move[p, q] for p, q in zip(y, y[1:], strict=False))) for y in product(range(3), repeat=int(n))}
+        total = sum(weight.values())
+        assert z[i] == pytest.approx(np.log(total))
+        for y, w in weight.items():
+            for k, c in enumerate(y):
+                wanted[a + k, c] += w / total
+            for p, q in zip(y, y[1:], strict=False):
+                moves[p, q] += w / total
+    assert np.allclose(prob, wanted) and np.allclose(moved, moves)
 
 
 # --- benchmark
