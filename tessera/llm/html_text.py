@@ -8,9 +8,12 @@ has becomes optional, neighbours that repeat become one repeated node, and longe
 group. There are no alternatives, so a wrapper stays as small as the host's layout.
 
 Wrappers are built per task and merged per host in two salted rounds, so a host with a third of all
-pages is no bottleneck. A finished wrapper says which nodes hold the article: marked article nodes,
-or else the node that most variable text leads to, without menus, notices, forms and so on and
-without slots that say the same on every page of a host.
+pages is no bottleneck. The finished wrapper of a host with several pages decides what its article is:
+slots that say the same on the host's pages and slots of links weigh nothing, repeated records of
+several slots (cards, comments) weigh half, and the article is the node that nearly all of the weight
+leads to. Names of tags and classes only settle what slots can't: which of two nodes of like weight it
+is, and what inside the article is a notice or a form. Hosts with one or two pages have no slots that
+could be compared; there, marked article nodes come first.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -91,8 +96,8 @@ def _key(tag: str, raw: str) -> str:
     return f"{tag}{mark}.{name}" if name else f"{tag}{mark}"
 
 
-#: Open elements below which further ones only separate blocks, as browsers bound them.
-DEEPEST = 200
+# pages nest as deeply as they like; these are frames of Python, which take no stack of the process
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
 
 
 class Node:
@@ -106,13 +111,22 @@ class Node:
         self.optional, self.repeated, self.pages = False, False, 1
 
     def dump(self):
-        return [self.key, self.optional, self.repeated, self.pages, self.chars, self.links, self.text, [k.dump() for k in self.kids]]
+        """A flat list of the nodes in page order, each with the number of its children."""
+        out, open_ = [], [self]
+        while open_:
+            x = open_.pop()
+            out.append([x.key, x.optional, x.repeated, x.pages, x.chars, x.links, x.text, len(x.kids)])
+            open_.extend(reversed(x.kids))
+        return out
 
     @classmethod
-    def load(cls, x) -> Node:
-        node = cls(x[0], [cls.load(k) for k in x[7]], x[4], x[5], x[6])
-        node.optional, node.repeated, node.pages = x[1], x[2], x[3]
-        return node
+    def load(cls, rows) -> Node:
+        made: list[Node] = []
+        for key, optional, repeated, pages, chars, links, text, kids in reversed(rows):
+            node = cls(key, [made.pop() for _ in range(kids)], chars, links, text)
+            node.optional, node.repeated, node.pages = optional, repeated, pages
+            made.append(node)
+        return made[0]
 
     def regex(self) -> str:
         """The expression, for reading."""
@@ -127,6 +141,7 @@ def parse(html: str) -> Node:
     stack: list[tuple[str, Node]] = [("html", root)]
     parts: list[tuple[str, bool]] = []
     link = False
+    nested = Counter(["html"])
     last = {q: html.rfind(q) for q in "\"'"}
 
     def flush():
@@ -139,10 +154,13 @@ def parse(html: str) -> Node:
     def close(depth: int):
         nonlocal link
         flush()
+        nested.subtract(t for t, _ in stack[depth:])
         del stack[depth:]
         link = False
 
     def opened(tags, limits) -> int:
+        if not any(nested[t] for t in tags):
+            return 0
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in tags:
                 return i
@@ -191,7 +209,7 @@ def parse(html: str) -> Node:
             if tag == "a":
                 link = False
             elif tag in _BLOCK:
-                depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag), 0)
+                depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag), 0) if nested[tag] else 0
                 if depth:
                     close(depth)
             continue
@@ -205,14 +223,12 @@ def parse(html: str) -> Node:
                 close(d)
             if tag in _ENDS and (d := opened(*_ENDS[tag])):
                 close(d)
-            if tag == "html" or (tag == "body" and any(t == "body" for t, _ in stack)):
+            if tag == "html" or (tag == "body" and nested["body"] > 0):
                 continue
             if tag == "body" and (d := opened({"head"}, ())):
                 close(d)
             if tag in _VOID:
                 continue
-            if len(stack) >= DEEPEST and tag not in _RAW:
-                continue
             node = Node(_key(tag, html[m.end() : end]))
             stack[-1][1].kids.append(node)
             if tag in _RAW:
@@ -220,10 +236,29 @@ def parse(html: str) -> Node:
                 at = n if found is None else html.find(">", found.end()) + 1 or n
             else:
                 stack.append((tag, node))
+                nested[tag] += 1
     close(1)
+    _sketched(root)
     return root
 
 
+#: Containers that say nothing by themselves, and how one without a name is told from its neighbours: by what it holds.
+_PLAIN = frozenset("div section td th li dd form table".split())
+_FLOWING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+_LISTS = frozenset("ul ol dl table select menu".split())
+
+
+def _sketched(root: Node) -> None:
+    """Adds to the keys of plain containers without a name whether they hold flowing text, lists, text only or containers."""
+    open_ = [root]
+    while open_:
+        node = open_.pop()
+        if node.key in _PLAIN:
+            held = {_tag(k.key) for k in node.kids}
+            node.key += "~t" if held & _FLOWING else "~l" if held & _LISTS else "~s" if held <= {"#"} else "~n"
+        open_.extend(node.kids)
+
+
 def _digest(text) -> int | None:
     return crc32(text.encode("utf-8", "surrogatepass")) if isinstance(text, str) else text
 
@@ -276,8 +311,53 @@ def _folded(kids: list[Node]) -> list[Node]:
     return out
 
 
-#: Cells of an alignment table above which children are aligned from the left instead.
-_CELLS = 40_000
+#: Bits of an alignment's rows that are kept at once; longer lists are halved first.
+_BITS = 1 << 28
+
+
+def _rows(a: list[str], b: list[str]) -> Iterator[int]:
+    """After each of `a`, a number whose bit j is 0 where one more of `b` makes the longest common subsequence longer."""
+    places: dict[str, int] = {}
+    for j, key in enumerate(b):
+        places[key] = places.get(key, 0) | 1 << j
+    row, full = (1 << len(b)) - 1, (1 << len(b)) - 1
+    for key in a:
+        hit = row & places.get(key, 0)
+        row = (row + hit | row - hit) & full
+        yield row
+
+
+def _lengths(a: list[str], b: list[str]) -> list[int]:
+    """The length of the longest common subsequence of `a` and each beginning of `b`."""
+    row = (1 << len(b)) - 1
+    for row in _rows(a, b):  # noqa: B007
+        pass
+    out = [0]
+    for bit in reversed(f"{row:0{len(b)}b}"):
+        out.append(out[-1] + (bit == "0"))
+    return out
+
+
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, in memory that doesn't grow with the product of the lengths."""
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > _BITS:
+        half = len(a) // 2
+        left, right = _lengths(a[:half], b), _lengths(a[:half - 1 if half else None:-1], b[::-1])
+        cut = max(range(len(b) + 1), key=lambda j: left[j] + right[len(b) - j])
+        return _common(a[:half], b[:cut]) + [(i + half, j + cut) for i, j in _common(a[half:], b[cut:])]
+    rows, out = list(_rows(a, b)), []
+    i, j = len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> j - 1 & 1:
+            j -= 1
+        else:
+            i -= 1
+            if not (i and not rows[i - 1] >> j - 1 & 1):
+                j -= 1
+                out.append((i, j))
+    return out[::-1]
 
 
 def _aligned(a: list[Node], b: list[Node]) -> list[Node]:
@@ -292,27 +372,7 @@ def _aligned(a: list[Node], b: list[Node]) -> list[Node]:
     while ea > lo and eb > lo and ka[ea - 1] == kb[eb - 1]:
         ea, eb = ea - 1, eb - 1
         tail.append((ea, eb))
-    if (ea - lo) * (eb - lo) > _CELLS:
-        j = lo
-        for i in range(lo, ea):
-            k = next((x for x in range(j, min(eb, j + 200)) if kb[x] == ka[i]), None)
-            if k is not None:
-                pairs.append((i, k))
-                j = k + 1
-    elif ea > lo and eb > lo:
-        size = [[0] * (eb + 1) for _ in range(ea + 1)]
-        for i in range(ea - 1, lo - 1, -1):
-            for j in range(eb - 1, lo - 1, -1):
-                size[i][j] = size[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(size[i + 1][j], size[i][j + 1])
-        i = j = lo
-        while i < ea and j < eb:
-            if ka[i] == kb[j]:
-                pairs.append((i, j))
-                i, j = i + 1, j + 1
-            elif size[i + 1][j] >= size[i][j + 1]:
-                i += 1
-            else:
-                j += 1
+    pairs += [(lo + i, lo + j) for i, j in _common(ka[lo:ea], kb[lo:eb])]
     out, i, j = [], 0, 0
     for x, y in [*pairs, *reversed(tail), (len(a), len(b))]:
         for own in (*a[i:x], *b[j:y]):
@@ -325,6 +385,7 @@ def _aligned(a: list[Node], b: list[Node]) -> list[Node]:
 
 
 def _flat(kids: list[Node]) -> list[Node]:
+    """Children, with those of repeated groups in place of the groups."""
     return [x for k in kids for x in (_flat(k.kids) if k.key == "()" else (k,))]
 
 
@@ -333,20 +394,63 @@ def _mark(key: str) -> str:
     return head[-1] if head[-1] in "+-" else ""
 
 
+#: A child of at least this share of its parent's weight holds what the parent is for; and what weighs this share of the heaviest is alike.
+_SHARE, _ALIKE = 0.7, 0.5
+_TEXT = frozenset("p blockquote pre ul ol dl table h1 h2 h3 h4 h5 h6 figure".split())
+
+
+def _tag(key: str) -> str:
+    return key.partition(".")[0].partition("~")[0].rstrip("+-")
+
+
 class Roles:
-    """A wrapper's nodes with a decision for each slot: part of the article or not."""
+    """A wrapper's nodes with a decision for each slot: part of the article or not.
 
-    def __init__(self, wrapper: Node, varied: int = 3):
-        # a slot that says the same everywhere is no article, unless the whole article does
-        self.many = False
-        region = self._marked(wrapper)
+    `varied` pages are enough to tell a slot that says the same everywhere from one that varies; a
+    slot of fewer pages than a `share` of the host's is no evidence.
+    """
+
+    def __init__(self, wrapper: Node, varied: int = 3, share: float = 0.3):
         self.many = wrapper.pages >= varied
-        if not region:
-            region = [self._densest(wrapper)]
-        elif not sum(map(self._weight, region)):
+        self.least = max(varied, share * wrapper.pages)
+        self.weights: dict[int, float] = {}
+        self._weigh(wrapper)
+        if self.many and not self._varies(wrapper):
+            # all pages say the same but in menus and the like: a host of copies
             self.many = False
+            self._weigh(wrapper)
+        region = [self._heaviest(wrapper)] if self.many else self._marked(wrapper) or [self._heaviest(wrapper)]
         self.tree = self._decided(wrapper, {id(x) for x in region}, False)
 
+    def _fixed(self, slot: Node) -> bool:
+        return self.many and slot.text is not None and slot.pages >= self.least
+
+    def _weigh(self, node: Node) -> float:
+        """Characters of varying text without links, on an average page of the host."""
+        if node.key == "#":
+            weight = 0.0 if self._fixed(node) else max(0, node.chars - 2 * node.links)
+        elif not self.many and _mark(node.key) == "-" or _tag(node.key) in _RAW:
+            weight = 0.0
+        else:
+            weight = 0.0
+            for kid in node.kids:
+                weight += self._weigh(kid)
+            if self.many and node.repeated and _tag(node.key) not in _TEXT and self._slots(node) > 1:
+                weight /= 2
+        self.weights[id(node)] = weight
+        return weight
+
+    def _varies(self, node: Node) -> bool:
+        """Whether any slot of weight is not in a part that is named as a menu or the like."""
+        for kid in node.kids:
+            if _mark(kid.key) != "-" and self.weights[id(kid)] and (kid.key == "#" or self._varies(kid)):
+                return True
+        return False
+
+    def _slots(self, node: Node) -> int:
+        """Children of a record that hold text of their own."""
+        return sum(kid.key == "#" or self.weights[id(kid)] > 0 for kid in _flat(node.kids))
+
     def _marked(self, node: Node) -> list[Node]:
         found = []
         for kid in _flat(node.kids):
@@ -354,23 +458,18 @@ class Roles:
             if mark != "-":
                 inner = self._marked(kid)
                 # a main part that holds an article is only its frame
-                found += inner or ([kid] if mark == "+" and self._weight(kid) else [])
+                found += inner or ([kid] if mark == "+" and self.weights[id(kid)] else [])
         return found
 
-    def _weight(self, node: Node) -> int:
-        if node.key == "#":
-            return 0 if self._fixed(node) else max(0, node.chars - 2 * node.links)
-        return 0 if _mark(node.key) == "-" else sum(map(self._weight, _flat(node.kids)))
-
-    def _fixed(self, slot: Node) -> bool:
-        return self.many and slot.text is not None and slot.pages >= 3
-
-    def _densest(self, node: Node) -> Node:
+    def _heaviest(self, node: Node) -> Node:
         while True:
-            whole = self._weight(node)
-            kids = [k for k in _flat(node.kids) if k.key != "#" and k.key.partition(".")[0] not in ("p", "blockquote", "pre", "ul", "ol", "dl", "table")]
-            best = max(kids, key=self._weight, default=None)
-            if best is None or not whole or self._weight(best) < 0.8 * whole or re.fullmatch(r"h[1-6]", best.key.partition(".")[0]):
+            kids = [k for k in _flat(node.kids) if k.key != "#" and _tag(k.key) not in _TEXT and self.weights[id(k)]]
+            most = max((self.weights[id(k)] for k in kids), default=0)
+            # of nodes alike in weight, names settle it
+            alike = [k for k in kids if self.weights[id(k)] >= _ALIKE * most]
+            best = max(alike, key=lambda k: ("- +".index(_mark(k.key) or " "), self.weights[id(k)]), default=None)
+            named = sum(self.weights[id(k)] for k in kids if k is not best and _mark(k.key) == "-")
+            if best is None or self.weights[id(best)] < _SHARE * (self.weights[id(node)] - named):
                 return node
             node = best
 
@@ -384,6 +483,15 @@ class Roles:
             return [node.key, False, [self._decided(k, region, True) for k in heads]]
         return [node.key, inside, [self._decided(k, region, inside) for k in _flat(node.kids)]]
 
+    def dump(self):
+        """The tree as a flat list of key, decision and number of children."""
+        out, open_ = [], [self.tree]
+        while open_:
+            key, kept, kids = open_.pop()
+            out.append([key, kept, len(kids)])
+            open_.extend(reversed(kids))
+        return out
+
 
 def _matched(node: Node, tree, out: list[str]) -> None:
     """Adds the texts of a page's node that its wrapper's decisions keep, in page order."""
@@ -423,7 +531,10 @@ def main_text(html: str, tree=None) -> str:
 
 @lru_cache(512)
 def _loaded(raw: str):
-    return json.loads(raw)
+    made: list = []
+    for key, kept, kids in reversed(json.loads(raw)):
+        made.append([key, kept, [made.pop() for _ in range(kids)]])
+    return made[0]
 
 
 def wrappers(pages: DataFrame, salts: int = 32) -> DataFrame:
@@ -491,7 +602,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            roles = [json.dumps(Roles(Node.load(json.loads(w.as_py()))).tree) for w in batch.column(1)]
+            roles = [json.dumps(Roles(Node.load(json.loads(w.as_py()))).dump()) for w in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(roles, pa.string())], ["host", "roles"])
 
     roles = written(wrappers(rows, salts).mapInArrow(decide, "host string, roles string"), "wrappers")

@@ -17,7 +17,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import secret_scan, suffix_tree
+from tessera.llm import html_text, secret_scan, suffix_tree
 from tessera.llm.decontaminate import MASKS, contaminated
 from tessera.llm.fingerprint import digest, likeness
 from tessera.llm.html_text import Node, Roles, extract, main_text, merge, parse, wrapper_of
@@ -56,8 +56,8 @@ def test_articles_are_exact(spark, sf):
 def test_wrapper_has_optional_and_repeated_parts():
     pages = ["<div><h1>A</h1><ul><li>1<li>2</ul></div>", "<div><h1>B</h1><h2>x</h2><ul><li>1</ul></div>", "<dl><dt>a<dd>b<dt>c<dd>d</dl>"]
     both = merge(wrapper_of(parse(pages[0])), wrapper_of(parse(pages[1])))
-    assert both.regex() == "<html><div><h1>#PCDATA(<h2>#PCDATA)?<ul>(<li>#PCDATA)+"
-    assert wrapper_of(parse(pages[2])).regex() == "<html><dl>(<dt>#PCDATA<dd>#PCDATA)+"
+    assert both.regex() == "<html><div~t><h1>#PCDATA(<h2>#PCDATA)?<ul>(<li~s>#PCDATA)+"
+    assert wrapper_of(parse(pages[2])).regex() == "<html><dl>(<dt>#PCDATA<dd~s>#PCDATA)+"
     assert Node.load(both.dump()).regex() == both.regex()
 
 
@@ -76,6 +76,76 @@ def test_boilerplate_of_a_host_goes():
     assert main_text(fixed[1], Roles(node).tree) == "b\n\nText of b"
 
 
+def article_of(html):
+    import html as h
+
+    article = re.search(r"<article>(.*?)</article>", html, re.S)[1]
+    blocks = (" ".join(h.unescape(re.sub(r"<br[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)[^>]*>", re.sub(r"</?b>", "", article)))
+    return "\n\n".join(b for b in blocks if b)
+
+
+def wrapped(pages):
+    node = wrapper_of(parse(pages[0]))
+    for p in pages[1:]:
+        node = merge(node, wrapper_of(parse(p)))
+    return Roles(node).tree
+
+
+def test_wrappers_decide_without_telling_names():
+    """The pages without tags and names that tell an article: exact with the host's wrapper, and not always without it."""
+    import pandas as pd
+
+    rows = pd.read_parquet("/root/testdata/sf0.1/pages.parquet", columns=["url", "html"]).head(600)
+    hosts, differ = {}, 0
+    for url, html in zip(rows["url"], rows["html"], strict=True):
+        plain = re.sub(r"<(/?)(?:article|nav|footer|aside|header)\b", r"<\1div", html)
+        hosts.setdefault(url.split("/")[2], []).append((re.sub(r'(<[a-z0-9]+)[^<>]*?\b(?:class|id)="[^"]*"', r"\1", plain), article_of(html)))
+    for pages in hosts.values():
+        if len(pages) > 4:
+            tree = wrapped([p for p, _ in pages])
+            assert all(main_text(p, tree) == want for p, want in pages)
+            differ += sum(main_text(p) != want for p, want in pages)
+    assert differ > 5
+
+
+def test_fixed_and_optional_parts_of_a_host():
+    r = np.random.default_rng(3)
+    some = lambda k: " ".join(f"w{r.integers(999)}" for _ in range(k))
+    notice = "All of this site is covered by terms which nobody reads. " * 40
+    pages, want = [], []
+    for i in range(12):
+        blocks = [some(5), *(some(25) for _ in range(2 + i % 3)), *(["Summary", some(9)] if i % 4 == 0 else [])]
+        inner = f"<h2>{blocks[0]}</h2>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+        links = "".join(f"<li><a href=x>{some(3)}</a></li>" for _ in range(5))
+        said = "".join(f"<div><div>{some(1)}</div><div>{some(4)}</div></div>" for _ in range(i % 3))
+        pages.append(f"<body><div><ul>{links}</ul></div><div>{inner}</div><section>{said}</section><div><p>{notice}</p></div></body>")
+        want.append("\n\n".join(blocks))
+    tree = wrapped(pages)
+    assert [main_text(p, tree) for p in pages] == want
+    assert all(main_text(p) != w for p, w in zip(pages, want, strict=True))
+
+
+def test_menus_below_any_depth_go():
+    for depth in (150, 250, 5000):
+        page = "<div>" * depth + "<nav><li>Menu one</nav>" + "</div>" * depth + "<article><p>The text of it</p></article>"
+        assert main_text(page) == "The text of it"
+        assert main_text(page, wrapped([page] * 3)) == "The text of it"
+
+
+@given(st.lists(st.sampled_from("abcd"), max_size=14), st.lists(st.sampled_from("abcd"), max_size=14))
+def test_alignment_is_longest(a, b):
+    size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            size[i + 1][j + 1] = size[i][j] + 1 if x == y else max(size[i][j + 1], size[i + 1][j])
+    for bits in (1 << 28, 10):
+        html_text._BITS, kept = bits, html_text._BITS
+        found = html_text._common(a, b)
+        html_text._BITS = kept
+        assert len(found) == size[-1][-1] and all(a[i] == b[j] for i, j in found)
+        assert all(x < z and y < w for (x, y), (z, w) in zip(found, found[1:], strict=False))
+
+
 def test_pages_of_copies_keep_their_text(spark):
     rows = [(i, "http://a.b/", f"<nav>{i}</nav><article><p>All the same here</p></article>") for i in range(9)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
