@@ -205,7 +205,7 @@ class Tree:
         return p
 
 
-def fit(train: DataFrame, word_share: float, min_share: float, smoothing: float, penalty: float, depth: int, min_count: int = 2) -> tuple[Tree, DataFrame, int, int]:
+def fit(train: DataFrame, word_share: float, min_share: float, smoothing: float, penalty: float, depth: int, min_count: int = 4) -> tuple[Tree, DataFrame, int, int]:
     """What is frequent of the tree, a table of the rest, N and V, from the column text of `train`.
 
     The table has key, known, base and score: what an occurrence of the word or string adds to n_known,
@@ -274,11 +274,11 @@ def suffix_tree_scores(
     id_col: str = "doc_id",
     text_col: str = "text",
     word_share: float = 1e-6,
-    min_share: float = 2e-5,
+    min_share: float = 1e-6,
     smoothing: float = 4.0,
     penalty: float = 0.5,
     depth: int = 2,
-    min_count: int = 2,
+    min_count: int = 4,
 ) -> DataFrame:
     """Scores every text with a suffix tree learnt from the rows where `held_out` is not true.
 
@@ -344,11 +344,14 @@ def suffix_tree_scores(
     schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>, tail_n array<int>"
     scored = written(rows.mapInArrow(score, schema), "scored")
     tail = scored.select("rid", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("rid", F.col("t.tail").alias("key"), F.col("t.tail_n").alias("times"))
-    tail = tail.join(rest, "key").select("rid", *((F.col("times") * F.col(c)).alias(name) for c, name in (("known", "n_known"), ("base", "base"), ("score", "score"))))
-    return (
-        scored.drop("tail", "tail_n")
-        .unionByName(tail.withColumn("n_known", F.col("n_known").cast("long")), allowMissingColumns=True)
-        .groupBy("rid")
-        .agg(*(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")), *(F.sum(c).alias(c) for c in ("n_known", "base", "score")))
-        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    tail = tail.join(rest, "key").groupBy("rid").agg(*(F.sum(F.col("times") * F.col(c)).alias(f"more_{c}") for c in ("known", "base", "score")))
+    added = lambda c, more: F.col(c) + F.coalesce(F.col(more), F.lit(0))
+    return scored.drop("tail", "tail_n").join(tail, "rid", "left").select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        added("n_known", "more_known").cast("long").alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"),
+        added("base", "more_base").alias("base_score"),
+        added("score", "more_score").alias("score"),
     )
