@@ -1,4 +1,4 @@
-"""python -m tessera {synthesise,refine,evaluate,run}: the plans over CSV or Parquet files."""
+"""python -m tessera {synthesise,refine,run}: the plans over CSV or Parquet files."""
 
 from __future__ import annotations
 
@@ -12,6 +12,16 @@ from tessera.session import spark_session
 from tessera.sources.files import read_csv
 
 
+def str2bool(value: str | bool) -> bool:
+    """The usual spellings of yes and no."""
+    low = str(value).strip().lower()
+    if low in ("yes", "true", "t", "y", "1"):
+        return True
+    if low in ("no", "false", "f", "n", "0"):
+        return False
+    raise argparse.ArgumentTypeError(f"{value!r} is neither yes nor no")
+
+
 def _table(spark: SparkSession, path: str) -> DataFrame:
     rows = read_csv(spark, path) if path.endswith(".csv") else spark.read.parquet(path)
     if "doc_id" not in rows.columns:
@@ -30,6 +40,7 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--copies", type=int, default=2)
     parser.add_argument("--model", default="echo")
     parser.add_argument("--runs", type=int, default=1)
+    parser.add_argument("--show", type=str2bool, default=True, help="print the metrics of a run")
     given = parser.parse_args(args)
     spark = spark_session()
     settings = pipeline.Settings([int(x) for x in pipeline.schedule(given.samples, given.epochs)], given.copies, given.model, runs=given.runs)
@@ -37,7 +48,9 @@ def main(args: list[str] | None = None) -> None:
     if given.command == "synthesise":
         pipeline.synthesise(private, given.out, settings)
     elif given.command == "run":
-        pipeline.run(private, given.out, settings).show(truncate=False)
+        found = pipeline.run(private, given.out, settings)
+        if given.show:
+            found.show(truncate=False)
     else:
         if not given.synthetic:
             parser.error("refine needs --synthetic")

@@ -80,6 +80,11 @@ def may_have_personal_data(text: Column) -> Column:
     return F.contains(text, F.lit("@")) | F.regexp_like(text, F.lit(r"(?U)\d{3}[-.\s]*\d{4}")) | F.regexp_like(text, F.lit(_NEEDS[PATTERNS[3][0]].pattern))
 
 
+def fully_redacted(text: Column, spans: Column) -> Column:
+    """Spans that a model found, then all patterns over what is left."""
+    return redacted(spans_replaced(text, spans))
+
+
 def spans_replaced(text: Column, spans: Column) -> Column:
     """Spans (array of struct start, end, label; from 0, end exclusive) as [LABEL], last one first."""
     ordered = F.reverse(F.array_sort(spans))

@@ -76,6 +76,11 @@ def truncated(text: Column, size: int = 300) -> Column:
     return F.array_join(F.slice(words(text), 1, size), " ")
 
 
+def first_characters(text: Column, size: int = 1000) -> Column:
+    """The first `size` characters; empty for null."""
+    return F.substring(F.coalesce(text, F.lit("")), 1, size)
+
+
 def encoded(tokens: Column, size: int, pad: int = 0, ignored: int = -100) -> tuple[Column, Column]:
     """Token ids cut or padded to `size`, and labels, in which padding is `ignored`."""
     kept = F.slice(tokens, 1, size)
@@ -98,6 +103,9 @@ def target_words(text: Column, share: float = 0.8) -> Column:
     return F.greatest(F.lit(1), F.bround(token_count(text) * F.lit(share)).cast("long"))
 
 
+# fixed values below: the accepted spellings of labels and the prefixes of tones
+
+
 def sentiment_name(raw: Column) -> Column:
     """A classifier's label in capitals; LABEL_0 to LABEL_2 by name."""
     up = F.upper(F.trim(raw))
@@ -133,10 +141,11 @@ def without_thinking(text: Column) -> Column:
 
 
 def assistant_part(text: Column) -> Column:
-    """What an answer says after the last role name `assistant`, without marks around it."""
+    """What an answer says after the last role name `assistant` in any case, without headings of solutions and marks around it."""
     body = F.btrim(F.regexp_replace(F.trim(text), r'^[^{\[]*?[\[{]?"?text"?\s*:\s*"?', ""), F.lit('"{}[]'))
-    body = F.when(body.contains("assistant"), F.substring_index(body, "assistant", -1)).otherwise(body)
-    return F.trim(F.btrim(F.regexp_replace(body, r"(?i)(system|user|assistant)", ""), F.lit('"')))
+    body = F.regexp_replace(body, r"(?is)^.*assistant", "")
+    body = F.regexp_replace(body, r"(?i)\*\*\s*solution\s*\d+\s*:?\s*\*\*:?", "")
+    return F.trim(F.btrim(F.trim(F.regexp_replace(body, r"(?i)(system|user|assistant)", "")), F.lit('"')))
 
 
 def first_answer(text: Column) -> Column:

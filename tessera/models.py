@@ -80,6 +80,11 @@ def messages(system: str, prompt: Column) -> Column:
     return F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), prompt.alias("content")))
 
 
+def single_message(system: str, prompt: Column) -> Column:
+    """The same for models without a system role: one user part, with a blank line between."""
+    return F.array(F.struct(F.lit("user").alias("role"), F.concat_ws("\n\n", F.lit(system), prompt).alias("content")))
+
+
 def logit_bias(favoured: list[list[int]], avoided: list[list[int]], up: int = 7, down: int = -100) -> dict[int, int]:
     """Bias by token id: all tokens of favoured words up; avoided words down, but only those of one token."""
     bias = {token: up for ids in favoured for token in ids}

@@ -32,6 +32,12 @@ def ranked(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
     return dealt.join(F.broadcast(table), "_range").withColumn(name, F.col("_at") + F.col("_shift")).drop("_range", "_at", "_shift")
 
 
+def at_positions(df: DataFrame, positions: DataFrame, *order: str) -> DataFrame:
+    """Rows of `df` whose places in the order (from 0) are in the column pos of `positions`, with pos; places outside are ignored."""
+    places = ranked(df, *order).withColumn("pos", F.col("pos") - 1)
+    return places.join(positions.select(F.col("pos").cast("long").alias("pos")).distinct(), "pos")
+
+
 def percentile(ranks: DataFrame, value: str, share: float, pos: str = "pos") -> float | None:
     """The linearly interpolated percentile of a column by which `ranks` is ranked; None without rows."""
     n = ranks.count()

@@ -197,6 +197,14 @@ SQL: dict[str, str] = {
     "think_strip": "SELECT doc_id, trim(trim(string_split(chr(10) || ' \"' || text || '\"' || chr(10) || 'This rewrite keeps the meaning.', 'This rewrite')[1], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\"') AS text FROM documents",
     "punctuation_collapse": "SELECT doc_id, regexp_replace(replace(text, ' ', '!?'), '([.?!,]){2,}', '\\1', 'g') AS text FROM documents",
     "chat_messages": "SELECT doc_id, 0 AS turn, 'system' AS role, md5('You rewrite texts.') AS content_md5 FROM documents UNION ALL SELECT doc_id, 1, 'user', md5('Rewrite: ' || text) FROM documents",
+    "chat_single": "SELECT doc_id, 'user' AS role, md5('You rewrite texts.' || chr(10) || chr(10) || 'Rewrite: ' || text) AS content_md5 FROM documents",
+    "positional_select": "SELECT pos, doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents) WHERE pos IN (SELECT doc_id FROM documents WHERE doc_id % 10 = 0)",
+    "head_rows": "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 100",
+    "label_vocabulary": f"WITH {_SAMPLES} SELECT DISTINCT label1 FROM samples",
+    "char_truncate": "SELECT doc_id, substr(coalesce(text, ''), 1, 1000) AS text FROM documents",
+    "redact_spans_full": f"SELECT doc_id, {_replaced("('[PER]' || substr(text, 6))", (*PATTERNS, *CURRENCY))} AS text FROM documents WHERE text <> ''",
+    "word_count_rows": f"WITH {_BUDGET} SELECT doc_id, target, len({_w()}) AS gen, len({_w()}) - target AS diff FROM budget",
+    "knn_radius_clamped": f"WITH {_V}, r AS (SELECT * FROM {_radii('p')}) SELECT id, round(CASE WHEN radius > (SELECT quantile_cont(radius, 0.9) FROM r) THEN 0 ELSE radius END, 6) AS radius FROM r",
     "word_count_log": f"WITH {_BUDGET}, d AS (SELECT len({_w()}) - target AS d FROM budget) SELECT round(avg(abs(d)), 6) AS mean_abs, round(stddev_pop(abs(d)), 6) AS std_abs, round(avg(d), 6) AS mean_diff, round(stddev_pop(d), 6) AS std_diff FROM d",
     "word_chunks": f"WITH {_words_chunked(100, 80, 'c')} SELECT doc_id, chunk_no::INT AS chunk_no, len(chunk) AS n_words, md5(array_to_string(chunk, ' ')) AS chunk_md5 FROM c",
     "char_chunks": f"WITH {_CHUNKS} SELECT doc_id, chunk_no::INT AS chunk_no, length(chunk)::INT AS size, md5(chunk) AS chunk_md5 FROM chunks",

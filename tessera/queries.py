@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera import models, oracle
 from tessera.functions import redact, text
 from tessera.functions.vectors import unit
-from tessera.operators import choice, divergence, likelihood, moments, neighbours, ngrams, sampling, votes
+from tessera.operators import choice, divergence, likelihood, moments, neighbours, ngrams, ranking, sampling, votes
 from tessera.operators.ranking import ranked
 from tessera.plans import evaluate, generate, refine
 from tessera.session import private, samples, synthetic, table
@@ -235,6 +235,55 @@ def chat_messages(spark, sf_dir):
     return rows.select("doc_id", "turn", "m.role", F.md5("m.content").alias("content_md5"))
 
 
+@_query
+def chat_single(spark, sf_dir):
+    """The same for models that take one message only."""
+    turns = models.single_message("You rewrite texts.", F.concat(F.lit("Rewrite: "), "text"))
+    return _docs(spark, sf_dir).select("doc_id", F.explode(turns).alias("m")).select("doc_id", "m.role", F.md5("m.content").alias("content_md5"))
+
+
+@_query
+def positional_select(spark, sf_dir):
+    """Every tenth row by place in the order of ids."""
+    docs = _docs(spark, sf_dir)
+    return ranking.at_positions(docs.select("doc_id"), docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("pos")), "doc_id")
+
+
+@_query
+def head_rows(spark, sf_dir):
+    """At most 100 rows, the first ones by id."""
+    return _docs(spark, sf_dir).select("doc_id").orderBy("doc_id").limit(100)
+
+
+@_query
+def label_vocabulary(spark, sf_dir):
+    return samples(spark, sf_dir).select("label1").distinct()
+
+
+@_query
+def char_truncate(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", text.first_characters(F.col("text")).alias("text"))
+
+
+@_query
+def redact_spans_full(spark, sf_dir):
+    """A span of five characters as a model might find it, then all patterns."""
+    spans = F.array(F.struct(F.lit(0).alias("start"), F.least(F.length("text"), F.lit(5)).alias("end"), F.lit("per").alias("label")))
+    return _docs(spark, sf_dir).where("text <> ''").select("doc_id", redact.fully_redacted(F.col("text"), spans).alias("text"))
+
+
+@_query
+def word_count_rows(spark, sf_dir):
+    """Words asked for, words made and the difference, for each text."""
+    rows = generate.length_budget(_docs(spark, sf_dir)).join(_docs(spark, sf_dir).select("doc_id", text.token_count(F.col("text")).cast("long").alias("gen")), "doc_id")
+    return rows.select("doc_id", "target", "gen", (F.col("gen") - F.col("target")).alias("diff"))
+
+
+@_query
+def knn_radius_clamped(spark, sf_dir):
+    return neighbours.radii(private(_vectors(spark, sf_dir), "id"), clamp=0.9).select("id", F.round("radius", 6).alias("radius"))
+
+
 @_query
 def generate_echo(spark, sf_dir):
     """Generation end to end with the model that repeats its prompt."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalised
+from tessera.operators.ranking import ranked
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -64,8 +65,9 @@ def _from_json(df: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """number and value of each line of a list of words; a lookup table."""
-    return spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("number"), F.trim("value").alias("value"))
+    """number (from 0, without gaps) and value of each line of a list that isn't blank; a lookup table."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.trim("value").alias("value")).where("value <> ''")
+    return ranked(lines, "line").select((F.col("pos") - 1).alias("number"), "value")
 
 
 def sample_rows(rows: DataFrame) -> DataFrame:
@@ -107,6 +109,36 @@ def append_metrics(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def append_summary(rows: DataFrame, path: str) -> None:
+    """Adds rows to a CSV of summaries, whose columns need not be the same; makes it if there is none.
+
+    The table is small: it is read whole, and the new one is complete before it takes the place of the old one.
+    """
+    spark = rows.sparkSession
+    text = rows.select(*(F.col(c).cast("string").alias(c) for c in rows.columns))
+    if not exists(spark, path):
+        return text.coalesce(1).write.csv(path, header=True, quote='"', escape='"')
+    read_csv(spark, path).unionByName(text, allowMissingColumns=True).coalesce(1).write.csv(f"{path}.new", header=True, quote='"', escape='"')
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new"))
+    store = old.getFileSystem(conf)
+    store.delete(old, True)
+    store.rename(new, old)
+
+
+def write_word_counts(rows: DataFrame, path: str) -> None:
+    """CSV rows target, gen and diff of the columns target and made, and a second folder with means and deviations of diff."""
+    counts = rows.select("target", F.col("made").alias("gen"), (F.col("made") - F.col("target")).alias("diff"))
+    counts.write.mode("overwrite").csv(path, header=True)
+    ends = [f(x).alias(f"{name}_{what}") for x, what in ((F.abs("diff"), "abs"), (F.col("diff"), "diff")) for f, name in ((F.avg, "mean"), (F.stddev_pop, "std"))]
+    counts.agg(*ends).write.mode("overwrite").csv(f"{path}.summary", header=True)
+
+
+def write_counts(votes: DataFrame, path: str) -> None:
+    """CSV of a histogram: slot and votes, in order of slots."""
+    votes.select("slot", "votes").orderBy("slot").write.mode("overwrite").csv(path, header=True)
+
+
 def once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The table at `path`, made and written if it isn't there: a step that was done is not done again.
 

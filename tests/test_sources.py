@@ -107,3 +107,34 @@ def test_schedule():
     assert pipeline.schedule("5", 1) == [5, 5] and pipeline.schedule("1,2.5", 1) == [1, 2.5]
     with pytest.raises(ValueError, match="numbers are needed"):
         pipeline.schedule("1,2", 4)
+
+
+def test_lines_are_numbered_without_gaps(spark, tmp_path):
+    (tmp_path / "w.txt").write_text("".join(f" role {i}\n\n" for i in range(49)))
+    assert sorted((r["number"], r["value"]) for r in files.read_lines(spark, str(tmp_path / "w.txt")).collect()) == [(i, f"role {i}") for i in range(49)]
+
+
+def test_summary_takes_rows_of_other_columns(spark, tmp_path):
+    path = str(tmp_path / "summary")
+    files.append_summary(spark.createDataFrame([(0, 5)], "round int, hits int"), path)
+    files.append_summary(spark.createDataFrame([(1, "x")], "round int, note string"), path)
+    got = files.read_csv(spark, path).collect()
+    assert sorted((r["round"], r["hits"], r["note"]) for r in got) == [("0", "5", None), ("1", None, "x")]
+
+
+def test_word_counts_and_histograms_are_written(spark, tmp_path):
+    files.write_word_counts(spark.createDataFrame([(10, 12), (20, 16)], "target long, made long"), str(tmp_path / "words"))
+    assert sorted(tuple(r) for r in files.read_csv(spark, str(tmp_path / "words")).collect()) == [("10", "12", "2"), ("20", "16", "-4")]
+    assert [tuple(map(float, r)) for r in files.read_csv(spark, str(tmp_path / "words.summary")).collect()] == [(3.0, 1.0, -1.0, 3.0)]
+    files.write_counts(spark.createDataFrame([(1, 3), (0, 4)], "slot int, votes long"), str(tmp_path / "votes"))
+    assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "votes")).collect()] == [("0", "4"), ("1", "3")]
+
+
+def test_switches():
+    import argparse
+
+    from tessera.__main__ import str2bool
+
+    assert [str2bool(x) for x in ("Yes", "t", "1", True, "no", "F", "0")] == [True] * 4 + [False] * 3
+    with pytest.raises(argparse.ArgumentTypeError):
+        str2bool("maybe")

@@ -114,3 +114,7 @@ def test_encoding_pads_and_cuts(spark):
     rows = df.select(*(c.alias(n) for c, n in zip(text.encoded(F.col("t"), 2), "ab", strict=True))).collect()
     assert rows[0]["a"] == [1, 2] and rows[0]["b"] == [1, 2]
     assert rows[1]["a"] == [0, 0] and rows[1]["b"] == [-100, -100]
+
+
+def test_answers_lose_roles_and_headings(spark):
+    assert one(spark, "user: hi ASSISTANT **Solution 2:** Good day", text.assistant_part) == "Good day"
