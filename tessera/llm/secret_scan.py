@@ -358,7 +358,7 @@ def _labelled(known: list[tuple[str, list[tuple[int, int]]]], usual: np.ndarray,
         start, size = _runs(first)
         known = np.repeat((np.add.reduceat(y, start) > 0) | (np.add.reduceat(cue.astype(np.int64), start) == 0), size) if len(start) else np.zeros(0, bool)
         x, y, first = x[known], y[known], first[known]
-    return x, first, y
+    return np.ascontiguousarray(x), first, y
 
 
 def _runs(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -366,7 +366,7 @@ def _runs(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.r_[start, len(first)])
 
 
-#: Tokens of weakly labelled windows at most.
+#: Tokens of weakly labelled windows at most: part of the bound of the fitting sample.
 _WEAK = 40_000
 
 
@@ -375,15 +375,17 @@ def fit_field(texts: list[str], made: int = 1500, steps: int = 80) -> tuple[np.n
     lines = made_lines(made)
     usual = usual_pairs([*texts, *(t for t, _ in lines)] if len(texts) > 20 else [_PROSE, *texts])
     parts = [_labelled(lines, usual, False)]
-    if texts:
-        x, first, y = _labelled([(t, _secrets_of(t)) for t in texts], usual, True)
-        # windows with labels first, then the others in order
+    # a hundred texts at a time, of which only windows stay: windows with labels first, then the others in order
+    windows = [_labelled([(t, _secrets_of(t)) for t in texts[lo : lo + 100]], usual, True) for lo in range(0, len(texts), 100)]
+    if windows:
+        x, first, y = (np.concatenate(c) for c in zip(*windows, strict=True))
         start, size = _runs(first)
         has = np.add.reduceat(y, start) > 0 if len(start) else np.zeros(0, bool)
         order = np.argsort(~has, kind="stable")
         order = np.sort(order[np.cumsum(size[order]) <= _WEAK])
         rows = np.concatenate([np.arange(start[i], start[i] + size[i]) for i in order]) if len(order) else np.zeros(0, np.int64)
         parts.append((x[rows], first[rows], y[rows]))
+        del windows, x
     x, first, y = (np.concatenate(c) for c in zip(*parts, strict=True))
     start, size = _runs(first)
     slope = lambda g: x.T @ np.where(np.arange(3) == INSIDE, g * ~first[:, None], g).astype(np.float32)
