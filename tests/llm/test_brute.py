@@ -27,7 +27,7 @@ from tessera.llm.piece_codec import PieceModel
 from tessera.llm.queries import QUERIES, SQL
 from tessera.llm.text import utf8
 
-few = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+few = settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -580,3 +580,13 @@ def test_long_words_are_encoded_in_linear_time():
     assert time.perf_counter() - began < 20
     for i, text in enumerate(texts):
         assert ids[first[i] : first[i + 1]].tolist() == [1, *library.encode(text), 2]
+
+
+def test_pipeline_keeps_one_of_each_group(spark, sf, duck):
+    """The stage near drops all that the SQL of op3 links to a smaller id, and nothing else."""
+    import corpus_pipeline
+
+    want = duck.execute(SQL["op3_near_duplicates"]).fetchdf()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r["doc_id"] for r in corpus_pipeline.near(spark, docs, sf).select("doc_id").collect()}
+    assert got == set(want.loc[want["kept"], "doc_id"]) and len(got) < len(want)
