@@ -50,8 +50,13 @@ def freed(*tables: DataFrame, shuffles: bool = True) -> None:
             path.getFileSystem(conf).delete(path, True)
             _made.discard(folder)
     if tables and shuffles:
-        gc.collect()
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        swept(tables[0].sparkSession)
+
+
+def swept(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffles of plans that nothing holds any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def sized(spark: SparkSession) -> None:

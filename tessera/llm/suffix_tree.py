@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import freed, sized, written
+from tessera.llm.shared import freed, sized, swept, written
 from tessera.llm.text import Counts, blocks, mix, signed, span_hashes, utf8, words
 
 #: Keys of the end of a text, and of its start, which is a context only.
@@ -117,7 +117,7 @@ def _counted(docs: DataFrame, keys_of) -> DataFrame:
 
 
 def _strings(docs: DataFrame, length: int, shared, least: int) -> DataFrame:
-    """key, context, word and n of the strings of `length` words that occur `least` times."""
+    """A table of context, word and n of the strings of `length` words that occur `least` times."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held, size = shared.value, [], 0
@@ -157,13 +157,20 @@ def _strings(docs: DataFrame, length: int, shared, least: int) -> DataFrame:
             held = [added()]
             yield from sent()
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = docs.select("text").mapInArrow(count, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
+    # written before it is joined, so that the partial counts are gone by then
+    return written(counts.where(F.col("n") >= least), "strings")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """`rows`, whose first columns are context and word, with the key of the string before them."""
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             context, word = (np.asarray(batch.column(i)) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(_longer(context, word)), *batch.columns], ["key", "context", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(_longer(context, word)), *batch.columns], ["key", *batch.schema.names])
 
-    counts = docs.select("text").mapInArrow(count, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
-    return counts.where(F.col("n") >= least).mapInArrow(keyed, "key long, context long, word long, n long")
+    return rows.mapInArrow(key, "key long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
 
 
 def _sorted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -233,9 +240,10 @@ def fit(train: DataFrame, word_share: float, min_share: float, smoothing: float,
         on = ["word"] if length == 2 else ["tail", "word"]
         share = F.col("n") / F.col("total")
         # tail: the context without its first word; end: the string without its first word
-        found = written(_strings(train, length, shared, min_count).join(heads, "context").join(parents, on).select("key", "context", "word", "n", "total", "end", "parent"), "found")
-        if length > 2:
-            freed(level)
+        strings = _strings(train, length, shared, min_count)
+        swept(spark)
+        found = written(_keyed(strings.join(heads, "context").join(parents, on).select("context", "word", "n", "total", "end", "parent")), "found")
+        freed(strings, *([level] if length > 2 else []))
         held = found.withColumn("share", share).groupBy("context").agg(
             F.max("total").alias("n"),
             F.count("*").alias("size"),
