@@ -55,13 +55,37 @@ def _sequence(data: np.ndarray, offsets: np.ndarray):
     return out, np.repeat(np.arange(n), size), first
 
 
+class Places:
+    """Places of keys in a sorted table; keys are hashes, so that their first bits tell a place within a few."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        self.shift = np.uint64(64 - max(1, len(table).bit_length() + 1))
+        self.starts = np.r_[0, np.cumsum(np.bincount(self._bits(table), minlength=1 << (64 - int(self.shift))))].astype(np.int32)
+
+    def _bits(self, keys: np.ndarray) -> np.ndarray:
+        # the order of signed keys
+        return ((keys.view(np.uint64) ^ np.uint64(1 << 63)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        bits = self._bits(keys)
+        at, stop = self.starts[bits], self.starts[bits + 1]
+        out = np.full(len(keys), -1, np.int64)
+        left = np.flatnonzero(at < stop)
+        keys, at, stop = keys[left], at[left], stop[left]
+        while len(left):
+            hit = self.table[at] == keys
+            out[left[hit]] = at[hit]
+            at += 1
+            more = ~hit & (at < stop)
+            left, keys, at, stop = left[more], keys[more], at[more], stop[more]
+        return out
+
+
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """The place of each key in a sorted table, or -1."""
-    if not len(table):
-        return np.full(len(keys), -1, np.int64)
-    at = np.searchsorted(table, keys)
-    at[at == len(table)] = 0
-    return np.where(table[at] == keys, at, -1)
+    return Places(table).find(keys)
 
 
 def _longer(key: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -192,6 +216,20 @@ class Tree:
         self.words, self.root = words_, root
         self.contexts: list[tuple[np.ndarray, np.ndarray]] = []
         self.strings: list[tuple[np.ndarray, np.ndarray]] = []
+        self._places: dict[tuple[str, int], Places] = {}
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_places": {}}
+
+    def _at(self, name: str, level: int, keys: np.ndarray) -> np.ndarray:
+        places = self._places.get((name, level))
+        if places is None:
+            places = self._places[name, level] = Places(self.words if name == "words" else getattr(self, name)[level][0])
+        return places.find(keys)
+
+    def find_words(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of frequent words, -1 for others."""
+        return self._at("words", 0, keys)
 
     def probability(self, ids: np.ndarray, doc: np.ndarray, first: np.ndarray, seq: np.ndarray | None = None) -> np.ndarray:
         """P of each position by what is frequent; that of a rare word (ids < 0) still lacks its root probability.
@@ -203,10 +241,10 @@ class Tree:
         p = np.ones(len(ids))
         p[ids >= 0] = self.root[ids[ids >= 0]] if len(self.root) else 1.0
         since = np.arange(len(ids)) - first[doc]
-        for level, ((keys, left), (strings, ratio)) in enumerate(zip(self.contexts, self.strings), 1):
+        for level, ((_, left), (_, ratio)) in enumerate(zip(self.contexts, self.strings), 1):
             at = np.flatnonzero(since >= level)
             prior = _key_at(seq, at - 1, level)
-            state, stored = _find(keys, prior), _find(strings, _longer(prior, seq[at]))
+            state, stored = self._at("contexts", level - 1, prior), self._at("strings", level - 1, _longer(prior, seq[at]))
             p[at[state >= 0]] *= left[state[state >= 0]]
             p[at[stored >= 0]] *= ratio[stored[stored >= 0]]
         return p
@@ -242,7 +280,7 @@ def fit(train: DataFrame, word_share: float, min_share: float, smoothing: float,
         # tail: the context without its first word; end: the string without its first word
         strings = _strings(train, length, shared, min_count)
         swept(spark)
-        found = written(_keyed(strings.join(heads, "context").join(parents, on).select("context", "word", "n", "total", "end", "parent")), "found")
+        found = written(_keyed(strings.join(heads.hint("shuffle_hash"), "context").join(parents.hint("shuffle_hash"), on).select("context", "word", "n", "total", "end", "parent")), "found")
         freed(strings, *([level] if length > 2 else []))
         held = found.withColumn("share", share).groupBy("context").agg(
             F.max("total").alias("n"),
@@ -256,7 +294,7 @@ def fit(train: DataFrame, word_share: float, min_share: float, smoothing: float,
         weight = F.col("n") / (F.col("n") + F.lit(smoothing))
         kept = held.where(gain > penalty * float(np.log(max(n, 2))) * F.col("size"))
         kept = written(kept.select(F.col("context").alias("key"), "n", weight.alias("weight"), (1 - weight * F.col("mass")).alias("left")), "contexts")
-        level = found.join(kept.select(F.col("key").alias("context"), "weight", "left"), "context", "left" if length <= depth else "inner")
+        level = found.join(kept.select(F.col("key").alias("context"), "weight", "left").hint("shuffle_hash"), "context", "left" if length <= depth else "inner")
         left = F.col("left") * F.col("parent")
         p = F.coalesce(left + F.col("weight") * share, F.col("parent"))
         # after the last length, only what is stored is read again
@@ -312,7 +350,7 @@ def suffix_tree_scores(
                 base = offsets[lo]
                 seq, doc, first = _sequence(data[base : offsets[hi]], offsets[lo : hi + 1] - base)
                 m = hi - lo
-                ids = _find(tree.words, seq)
+                ids = tree.find_words(seq)
                 p = np.log10(tree.probability(ids, doc, first, seq))
                 p[first[:-1]] = 0
                 known = ids >= 0
@@ -328,7 +366,9 @@ def suffix_tree_scores(
                     may = _may_hold(table, key)
                     found.append((key[may], doc[at[may]]))
                 k, d = (np.concatenate(c) for c in zip(*found))
-                order = np.lexsort((k, d))
+                # by document, and there by as many bits of the key as fit; one that is cut in two is two rows
+                bits = np.uint64(int(m).bit_length())
+                order = np.argsort(d.astype(np.uint64) << (np.uint64(64) - bits) | k.view(np.uint64) >> bits)
                 k, d = k[order], d[order]
                 new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]) if len(k) else np.empty(0, np.int64)
                 per = np.r_[0, np.cumsum(np.bincount(d[new], minlength=m))].astype(np.int32)
@@ -352,7 +392,8 @@ def suffix_tree_scores(
     schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>, tail_n array<int>"
     scored = written(rows.mapInArrow(score, schema), "scored")
     tail = scored.select("rid", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("rid", F.col("t.tail").alias("key"), F.col("t.tail_n").alias("times"))
-    tail = tail.join(rest, "key").groupBy("rid").agg(*(F.sum(F.col("times") * F.col(c)).alias(f"more_{c}") for c in ("known", "base", "score")))
+    # a key has a few rows of `rest` at most, and keys are hashes: a partition holds its share of them, and needs no sort
+    tail = tail.join(rest.hint("shuffle_hash"), "key").groupBy("rid").agg(*(F.sum(F.col("times") * F.col(c)).alias(f"more_{c}") for c in ("known", "base", "score")))
     added = lambda c, more: F.col(c) + F.coalesce(F.col(more), F.lit(0))
     return scored.drop("tail", "tail_n").join(tail, "rid", "left").select(
         "doc_id",
