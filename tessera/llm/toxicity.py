@@ -110,7 +110,7 @@ def _apart(texts: list[str]) -> list[int]:
     return out
 
 
-def fit_lexicon(texts: list[str], labels: list[int], terms: dict[str, float] | None = None, exceptions: Iterable[str] = (), least: int = 4, share: float = 0.01, ratio: float = 3.0, shortest: int = 4, longest: int = 9, size: int = 4000) -> Lexicon:
+def fit_lexicon(texts: list[str], labels: list[int], terms: dict[str, float] | None = None, exceptions: Iterable[str] = (), least: int = 4, share: float = 0.01, ratio: float = 3.0, shortest: int = 4, longest: int = 9) -> Lexicon:
     """Learns terms, exception phrases and the curve; without texts only what is given is matched.
 
     A term must be in `least` toxic documents, and in a `share` of them, and have a log ratio of `ratio`; a beginning of words
@@ -135,7 +135,7 @@ def fit_lexicon(texts: list[str], labels: list[int], terms: dict[str, float] | N
         stem = term.rstrip()
         if any(found.get(stem[:k], -1) >= found[term] - 0.3 for k in range(shortest + 1, len(term))):
             del found[term]
-    found = dict(sorted(found.items(), key=lambda x: (-x[1] * seen[1][x[0]] ** 0.5, x[0]))[:size])
+    found = dict(sorted(found.items()))
     found |= {fold(t) if t.endswith(" ") else fold(t).rstrip(): w for t, w in (terms or {}).items()}
     plain, pairs = Lexicon(found), [Counter(), Counter()]
     for text, y in zip(folded, labels, strict=True):
