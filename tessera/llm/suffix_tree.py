@@ -40,6 +40,8 @@ END, START = 0x1D0C, 0x57A7
 _FILTER_BITS, _SHIFTS = 1 << 27, (0, 32)
 #: Strings that a task holds before it sends partial counts.
 _HELD = 1_500_000
+#: Bits of a key that tell which of the turns joins it: what all texts look up is on disk for one turn only.
+_TURNS = 1
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -339,7 +341,8 @@ def suffix_tree_scores(
     tree, rest, n, v = fit(rows.where(~F.col("held_out")), word_share, min_share, smoothing, penalty, depth, min_count)
     shared = spark.sparkContext.broadcast((tree, _filter(rest.where("known = 0"))))
     unit = float(np.log10(n + v + 1))
-    names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail", "tail_n"]
+    plain = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
+    names = plain + [f"{c}{t}" for t in range(1 << _TURNS) for c in ("tail", "times")]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, table = shared.value
@@ -371,8 +374,13 @@ def suffix_tree_scores(
                 order = np.argsort(d.astype(np.uint64) << (np.uint64(64) - bits) | k.view(np.uint64) >> bits)
                 k, d = k[order], d[order]
                 new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]) if len(k) else np.empty(0, np.int64)
-                per = np.r_[0, np.cumsum(np.bincount(d[new], minlength=m))].astype(np.int32)
                 times = np.diff(np.r_[new, len(k)]).astype(np.int32)
+                k, d = k[new], d[new]
+                turn, tails = k.view(np.uint64) >> np.uint64(64 - _TURNS), []
+                for t in range(1 << _TURNS):
+                    own = turn == t
+                    per = pa.array(np.r_[0, np.cumsum(np.bincount(d[own], minlength=m))].astype(np.int32))
+                    tails += [pa.ListArray.from_arrays(per, pa.array(k[own])), pa.ListArray.from_arrays(per, pa.array(times[own]))]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(rid, rid + m)),
@@ -382,20 +390,23 @@ def suffix_tree_scores(
                         pa.array(np.bincount(doc[known], minlength=m)),
                         pa.array(np.bincount(doc[known], root, m).astype(float) - unseen),
                         pa.array(np.bincount(doc, p, m) - unseen),
-                        pa.ListArray.from_arrays(pa.array(per), pa.array(k[new])),
-                        pa.ListArray.from_arrays(pa.array(per), pa.array(times)),
+                        *tails,
                     ],
                     names,
                 )
                 rid += m
 
-    schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>, tail_n array<int>"
-    scored = written(rows.mapInArrow(score, schema), "scored")
-    tail = scored.select("rid", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("rid", F.col("t.tail").alias("key"), F.col("t.tail_n").alias("times"))
-    # a key has a few rows of `rest` at most, and keys are hashes: a partition holds its share of them, and needs no sort
-    tail = tail.join(rest.hint("shuffle_hash"), "key").groupBy("rid").agg(*(F.sum(F.col("times") * F.col(c)).alias(f"more_{c}") for c in ("known", "base", "score")))
+    schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, " + ", ".join(f"tail{t} array<long>, times{t} array<int>" for t in range(1 << _TURNS))
+    scored, more = written(rows.mapInArrow(score, schema), "scored"), []
+    for t in range(1 << _TURNS):
+        tail = scored.select("rid", F.explode(F.arrays_zip(F.col(f"tail{t}").alias("key"), F.col(f"times{t}").alias("times"))).alias("t")).select("rid", "t.key", "t.times")
+        # a key has a few rows of `rest` at most, and keys are hashes: a partition holds its share of them, and needs no sort
+        part = rest.where(F.shiftrightunsigned("key", 64 - _TURNS) == t).hint("shuffle_hash")
+        more.append(written(tail.join(part, "key").groupBy("rid").agg(*(F.sum(F.col("times") * F.col(c)).alias(f"more_{c}") for c in ("known", "base", "score"))), "more"))
+        swept(spark)
+    tail = reduce(DataFrame.union, more).groupBy("rid").agg(*(F.sum(f"more_{c}").alias(f"more_{c}") for c in ("known", "base", "score")))
     added = lambda c, more: F.col(c) + F.coalesce(F.col(more), F.lit(0))
-    return scored.drop("tail", "tail_n").join(tail, "rid", "left").select(
+    return scored.select(plain).join(tail, "rid", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
