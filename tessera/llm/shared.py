@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text sent to a Python worker at a time.
 ARROW_BYTES = 8 << 20
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: list[str] = []
 _made: set[str] = set()
 
@@ -34,7 +35,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # nothing but this write reads its shuffles: they go as soon as it ends
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     _made.update(name.rsplit("/", 1)[0] for name in out.inputFiles()[:1])
     return out
