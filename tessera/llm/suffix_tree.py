@@ -149,11 +149,15 @@ def _strings(docs: DataFrame, length: int, shared, least: int) -> DataFrame:
         table, held, size = shared.value, [], 0
 
         def added() -> list[np.ndarray]:
-            key, context, word, n = (np.concatenate(c) for c in zip(*held))
+            # a column at a time: not all of them are in memory twice
+            column = lambda i: np.concatenate([h[i] for h in held])
+            key = column(0)
             order = np.argsort(key, kind="stable")
             key = key[order]
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            return [key[first], context[order[first]], word[order[first]], np.add.reduceat(n[order], first)]
+            key, n = key[first], np.add.reduceat(column(3)[order], first)
+            order = order[first]
+            return [key, column(1)[order], column(2)[order], n]
 
         def sent() -> Iterator[pa.RecordBatch]:
             for lo in range(0, len(held[0][0]), 200_000):
