@@ -15,10 +15,13 @@
    takes for common by mistake counts as common everywhere). Two linked sets share a rare shingle,
    or else have all of their overlap in common shingles. The first are met by rare shingle, at most
    RARE to each, if both keep enough shingles without those that no other set holds. For the second,
-   a set with few rare shingles that members of a bucket have met is a measure: two sets overlap in
-   no more than the lesser of their overlaps with it and the lesser of their common shingles outside
-   it. Copies with many edits can't reach the threshold so and drop out; what is left meets by
-   bucket, across components, and a large bucket is dealt to many tasks by salts.
+   a set with few rare shingles that members of a bucket have met is a measure, and what each set
+   lacks of it is kept. Sets linked with the measure are one component with it. Two sets overlap in
+   no more than what neither lacks of it and the lesser of their common shingles outside it. A set
+   outside the measure's component is compared with all others that the measure leaves room for (a
+   set with nothing common outside the measure and no shorter has none), once for a measure and not
+   in each bucket; a large group is dealt to many tasks by salts, and only pairs that the bound
+   can't tell from links leave the join.
 6. Components are found by alternating large-star and small-star steps, all in tables. Tables are
    deleted as soon as nothing reads them any more.
 """
@@ -40,7 +43,7 @@ _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 _FILTER_BITS = 1 << 26
 #: Sets that may hold a shingle which counts as rare.
 RARE = 16
-#: Members of a bucket that one task compares others with.
+#: Sets by one measure that one task compares others with.
 SALTED = 256
 
 
@@ -197,8 +200,11 @@ def _split_sets(sets: DataFrame, rare: int) -> DataFrame:
     return sets.select("node", "set").mapInArrow(part, "node long, n long, common long, rare array<long>")
 
 
-def _missing_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that could be linked; rest: key, node and component of the buckets left."""
+def _missing_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different components that could be linked, and those that are known to be.
+
+    rest: key, node and component of the buckets left.
+    """
     nodes = rest.select("node", "component").distinct()
     own = _split_sets(sets.join(nodes.select("node").hint("merge"), "node", "left_semi"), RARE)
     own = written(own.join(nodes, "node"), "split")
@@ -216,29 +222,41 @@ def _missing_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rich = rest.join(own.where(f"100 * common >= {percent} * n").select("node", "n", "common"), "node")
     rich = _could_link(written(rich, "rich"), F.col("common"), percent)
     # the set with the fewest rare shingles that any member of a bucket has met stands for what most share
-    best = F.min(F.struct((F.col("n") - F.col("common")).alias("rare"), (-F.col("common")).alias("common"), F.col("node"))).alias("best")
+    best = F.min(F.struct((F.col("n") - F.col("common")).alias("rare"), (-F.col("common")).alias("common"), F.col("node"), F.col("component"), F.col("n"))).alias("best")
     met_by = rich.join(rich.groupBy("key").agg(best), "key").groupBy("node").agg(F.min("best").alias("best"))
-    hubs = _split(rich.select("key", "node", "component").join(met_by, "node"), F.min("best").alias("best")).select("key", F.col("best.node").alias("hub"))
-    near = written(rich.join(hubs, "key"), "near")
+    hubs = _split(rich.select("key", "node", "component").join(met_by, "node"), F.min("best").alias("best")).select("key", F.col("best.node").alias("hub"), F.col("best.component").alias("main"), F.col("best.n").alias("hub_n"))
+    # what meets by bucket meets by its measure too, there once and not in each bucket
+    near = written(rich.join(hubs, "key").select("node", "hub", "component", "main", "n", "hub_n").distinct(), "near")
     freed(rich, shuffles=False)
-    spans = near.select("node", "hub").distinct().join(own.select("node", "rare"), "node")
+    spans = near.join(own.select("node", "rare"), "node")
     spans = spans.join(sets.select("node", F.col("set").alias("x")).hint("merge"), "node").join(sets.select(F.col("node").alias("hub"), F.col("set").alias("h")), "hub")
-    inside = F.size(F.array_intersect("x", "h"))
-    spans = spans.select("node", "hub", inside.alias("inside"), F.size(F.array_except(F.array_except("x", "h"), "rare")).alias("outside"))
-    rich = _could_link(written(near.join(spans, ["node", "hub"]), "rich"), F.col("inside") + F.col("outside"), percent)
+    outside = F.size(F.array_except(F.array_except("x", "h"), "rare")).alias("outside")
+    spans = written(spans.select(F.col("hub").alias("key"), "node", "component", "main", "n", "hub_n", F.array_except("h", "x").alias("gone"), outside), "spans")
     freed(near, own, shuffles=False)
-    # all of a bucket against those outside its largest component; a pair meets in the first bucket that both still have
-    last = written(rich.join(rich.groupBy("node").agg(F.collect_set("key").alias("keys")), "node"), "last")
-    freed(rich, shuffles=False)
-    sizes = last.groupBy("key", "component").agg(F.count("*").alias("c"))
-    sizes = _split(sizes, F.max_by("component", F.struct("c", "component")).alias("largest"), F.ceil(F.sum("c") / SALTED).alias("salts"))
-    # each outside the largest component meets one salt's share of the others at a time
-    minor = last.join(sizes, "key").where("component != largest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    other = last.join(sizes.select("key", "salts"), "key").withColumn("salt", F.pmod(F.xxhash64("node"), "salts"))
-    other = other.select("key", "salt", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "n", "inside", "outside", "keys")))
-    most = "least(inside, other_inside) + least(outside, other_outside)"
-    close = minor.join(other, ["key", "salt"]).where(f"component != other_component and {100 + percent} * ({most}) >= {percent} * (n + other_n) and key = array_min(array_intersect(keys, other_keys))")
-    return met.union(close.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))).distinct()
+    # links with the measure are known by now, and join components to its own
+    inside = F.col("hub_n") - F.size("gone")
+    spans = spans.withColumn("linked", (100 + percent) * inside >= percent * (F.col("n") + F.col("hub_n")))
+    direct = spans.where("linked and component != main").select(F.least("node", "key").alias("a"), F.greatest("node", "key").alias("b"))
+    apart = spans.where("component != main")
+    joined = apart.where("linked").select("key", "component").distinct().withColumn("joined", F.lit(True))
+    apart = apart.join(joined, ["key", "component"], "left").withColumn("component", F.expr("if(joined, main, component)")).drop("joined")
+    sides = spans.where("component = main").unionByName(apart)
+    last = _could_link(written(sides, "sides"), inside + F.col("outside"), percent)
+    # a set that isn't linked with the measure is linked with another only if it lacks what that lacks of the
+    # measure but for less than `spare`; nothing links so with a set whose spare is none
+    spare = percent * (F.col("hub_n") - F.col("n")) + (100 + percent) * F.col("outside")
+    minor = last.where("component != main")
+    other = last.where(spare > 0)
+    sizes = other.groupBy("key").agg(F.ceil(F.count("*") / SALTED).alias("salts"))
+    minor = minor.join(sizes, "key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    other = other.join(sizes, "key").withColumn("salt", F.pmod(F.xxhash64("node"), "salts"))
+    other = other.select("key", "salt", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "n", "gone", "outside")))
+    # of the measure both have all but what either lacks
+    most = "hub_n - size(gone) - size(other_gone) + least(outside, other_outside)"
+    fits = f"{100 + percent} * ({most} + {{0}}) >= {percent} * (n + other_n)"
+    close = minor.join(other, ["key", "salt"]).where(f"component != other_component and {fits.format('least(size(gone), size(other_gone))')} and {fits.format('size(array_intersect(gone, other_gone))')}")
+    close = close.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))
+    return met.union(close).distinct(), direct
 
 
 def _split(rows: DataFrame, *values: Column) -> DataFrame:
@@ -339,7 +357,8 @@ def near_duplicates(
     labelled = members.select("key", "node").join(found, "node")
     rest = written(labelled.join(_split(labelled), "key"), "rest")
     freed(first, members)
-    links = linked(_missing_pairs(rest, sets, percent))
+    maybe, known = _missing_pairs(rest, sets, percent)
+    links = linked(maybe).union(known)
     ends = found.select(F.col("node").alias("a"), F.col("component").alias("ca")), found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     united = components(links.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     freed(rest, sets, narrow)
