@@ -256,7 +256,7 @@ class Tree:
         return p
 
 
-def fit(train: DataFrame, word_share: float, min_share: float, smoothing: float, penalty: float, depth: int, min_count: int = 4) -> tuple[Tree, DataFrame, int, int]:
+def fit(train: DataFrame, word_share: float, min_share: float, smoothing: float, penalty: float, depth: int, min_count: int = 2) -> tuple[Tree, DataFrame, int, int]:
     """What is frequent of the tree, a table of the rest, N and V, from the column text of `train`.
 
     The table has key, known, base and score: what an occurrence of the word or string adds to n_known,
@@ -330,7 +330,7 @@ def suffix_tree_scores(
     smoothing: float = 4.0,
     penalty: float = 0.5,
     depth: int = 2,
-    min_count: int = 4,
+    min_count: int = 2,
 ) -> DataFrame:
     """Scores every text with a suffix tree learnt from the rows where `held_out` is not true.
 
