@@ -11,13 +11,17 @@ with lambda(s) = c(s) / (c(s) + smoothing), and M(s) the part of c(s) that is st
 one over all words. The root is the add-one estimate (c + 1) / (N + V + 1), whose last part belongs
 to all unknown words together. A text is scored by the longest retained suffix at each position.
 
-Counts, states and stored strings are tables by key, fitted by joins. As a product, P(w | s) is the
+Counts, states and stored strings are tables by key, fitted by lookups. As a product, P(w | s) is the
 root's part, what each retained context leaves to its parent, and for a stored string its P over
 what was left to it; so each string of a text adds its own logarithm, and a text is scored by one
-join of its strings with those of the tree. Words that make up at least `word_share` of all tokens,
+lookup of its strings among those of the tree. Words that make up at least `word_share` of all tokens,
 and longer strings of at least `min_share`, are looked up in broadcast tables of at most 1 / share
-rows for each length, so that none of those joined by key is hot. A Bloom filter of fixed size keeps
-strings that the tree lacks from being sent; what it lets through is settled by the join.
+rows for each length, so that none of those looked up by key is hot. A Bloom filter of fixed size keeps
+strings that the tree lacks from being sent; what it lets through is settled by the lookup.
+
+Strings are exchanged as arrays: a row has the columns, as bytes, of all strings that a task sends to
+one part of the keys, so that no Spark row is made for a string. Parts are as many as
+`spark.sql.shuffle.partitions`, and more where those would hold over 4 million tokens each.
 """
 
 from __future__ import annotations
@@ -31,17 +35,22 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import freed, sized, swept, written
+from tessera.llm.shared import freed, sized, written
 from tessera.llm.text import Counts, blocks, mix, signed, span_hashes, utf8, words
 
 #: Keys of the end of a text, and of its start, which is a context only.
 END, START = 0x1D0C, 0x57A7
 #: Bits of the filter of strings, a fixed size of 16 MB; strings' keys are hashes, parts of which are places.
 _FILTER_BITS, _SHIFTS = 1 << 27, (0, 32)
-#: Strings that a task holds before it sends partial counts.
-_HELD = 1_500_000
-#: Bits of a key that tell which of the turns joins it: what all texts look up is on disk for one turn only.
-_TURNS = 1
+#: Ranges of the filter that are put together apart.
+_RANGES = 64
+#: Strings that a task holds before it sends partial counts or lookups.
+_HELD = 3_000_000
+#: Bytes of arrays in a batch that a task sends, and tokens of a part at most.
+_SENT, _PART_TOKENS = 4 << 20, 1 << 22
+_BLOBS = ["c0", "c1", "c2", "c3"]
+_SCHEMA = "part int, kind int, src long, " + ", ".join(f"{c} binary" for c in _BLOBS)
+_INFO = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -90,28 +99,114 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return Places(table).find(keys)
 
 
-def _longer(key: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The key of a string from that of all but its last word and the key of the last."""
-    return signed(mix(key.view(np.uint64) * _A + word.astype(np.uint64) * _B))
+def _longer(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """The key of a string from those of all but its last word and of all but its first."""
+    return signed(mix(head.view(np.uint64) * _A + tail.view(np.uint64) * _B))
+
+
+def _keys(seq: np.ndarray, length: int) -> list[np.ndarray]:
+    """For 1 to `length` words, the key of the words that end at each place; places that lack words have any key."""
+    out = [seq]
+    for _ in range(length - 1):
+        out.append(np.r_[seq[:1], _longer(out[-1][:-1], out[-1][1:])])
+    return out
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    # by the last bits of keys: `Places` goes by the first ones
+    return ((keys.view(np.uint64) & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16)
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of part, kind, src and arrays, in batches of a bounded size."""
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        blobs = [pa.array([r[3][k].tobytes() if k < len(r[3]) else None for r in held], pa.binary()) for k in range(len(_BLOBS))]
+        plain = [pa.array([r[k] for r in held], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64()))]
+        return pa.RecordBatch.from_arrays(plain + blobs, ["part", "kind", "src", *_BLOBS])
+
+    for row in rows:
+        held.append(row)
+        size += sum(a.nbytes for a in row[3])
+        if size > _SENT:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
 
-def _key_at(seq: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """The key of the `length` words that end at each place."""
-    key = seq[at - length + 1]
-    for k in range(length - 2, -1, -1):
-        key = _longer(key, seq[at - k])
-    return key
+def _dealt(kind: int, columns: list[np.ndarray], by: np.ndarray, parts: int, near: np.ndarray | None = None, src: int = 0) -> Iterator[tuple]:
+    """A row for each part of the keys `by`, with what `columns` have there, in the order of `near` if given."""
+    part = _part(by, parts)
+    if near is None:
+        order = np.argsort(part, kind="stable")
+    else:
+        # equal keys side by side, which the shuffle's compression makes use of
+        order = np.argsort(part.astype(np.uint64) << np.uint64(48) | near.view(np.uint64) >> np.uint64(16))
+    ends = np.cumsum(np.bincount(part, minlength=parts))
+    columns = [c[order] for c in columns]
+    for k in np.flatnonzero(np.diff(np.r_[0, ends])):
+        lo, hi = ends[k - 1] if k else 0, ends[k]
+        yield int(k), kind, src, [c[lo:hi] for c in columns]
 
 
-def _filter(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size; its words are put together by key before they are sent."""
-    mask = F.lit(_FILTER_BITS - 1)
-    bit = F.explode(F.array(*(F.shiftrightunsigned("key", k).bitwiseAND(mask) for k in _SHIFTS))).alias("bit")
-    word = F.shiftright("bit", 6)
-    rows = keys.select(bit).groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+def _read(batches: Iterator[pa.RecordBatch], kinds: dict[int, tuple]) -> Iterator[tuple]:
+    """part, kind, src and arrays of each row, whose types `kinds` tells; others are passed as bytes."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            part, kind, src = (batch.column(k)[i].as_py() for k in range(3))
+            types = kinds.get(kind, (np.uint8,))
+            yield part, kind, src, [np.frombuffer(batch.column(3 + k)[i].as_buffer(), t) for k, t in enumerate(types)]
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], kinds: dict[int, tuple]) -> dict[int, list[np.ndarray]]:
+    """The columns of each kind, of all rows."""
+    held: dict[int, list] = {kind: [] for kind in kinds}
+    for _, kind, _, arrays in _read(batches, kinds):
+        held[kind].append(arrays)
+    return {kind: [np.concatenate([np.empty(0, t), *(r[k] for r in held[kind])]).astype(t, copy=False) for k, t in enumerate(types)] for kind, types in kinds.items()}
+
+
+def _exchanged(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.repartitionById(parts, F.col("part"))
+
+
+def _filter(rows: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size of the keys in c0; its ranges are put together apart before they are sent."""
+    span = _FILTER_BITS // _RANGES
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent() -> Iterator[tuple]:
+            held, size = [], 0
+            for batch in batches:
+                for b in batch.column(0):
+                    held.append(np.frombuffer(b.as_buffer(), np.int64).view(np.uint64))
+                    size += len(held[-1])
+                    if size > _HELD:
+                        yield from dealt(np.concatenate(held))
+                        held, size = [], 0
+            if size:
+                yield from dealt(np.concatenate(held))
+
+        yield from _batches(sent())
+
+    def dealt(key: np.ndarray) -> Iterator[tuple]:
+        bit = np.sort(np.concatenate([(key >> np.uint64(k) & np.uint64(_FILTER_BITS - 1)).astype(np.int32) for k in _SHIFTS]))
+        ends = np.searchsorted(bit, np.arange(_RANGES + 1) * span)
+        for k in range(_RANGES):
+            yield k, 0, 0, [bit[ends[k] : ends[k + 1]] - np.int32(k * span)]
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for part, _, _, (bit,) in _read(batches, {0: (np.int32,)}):
+            held.setdefault(part, np.zeros(span, bool))[bit] = True
+        yield from _batches((part, 0, 0, [np.packbits(on, bitorder="little")]) for part, on in held.items())
+
+    found = _exchanged(rows.select("c0").mapInArrow(bits, _SCHEMA), _RANGES).mapInArrow(put, _SCHEMA).select("part", "c0").collect()
     table = np.zeros(_FILTER_BITS // 64, np.int64)
-    if rows.num_rows:
-        table[np.asarray(rows.column(0).combine_chunks())] = np.asarray(rows.column(1).combine_chunks())
+    for part, raw in found:
+        table[part * span // 64 : (part + 1) * span // 64] = np.frombuffer(raw, np.int64)
     return table
 
 
@@ -142,65 +237,165 @@ def _counted(docs: DataFrame, keys_of) -> DataFrame:
     return docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _strings(docs: DataFrame, length: int, shared, least: int) -> DataFrame:
-    """A table of context, word and n of the strings of `length` words that occur `least` times."""
+def _strings(docs: DataFrame, length: int, shared, least: int, parts: int) -> DataFrame:
+    """Head, tail and n of the strings of `length` words that occur `least` times, dealt by their tails."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, size = shared.value, [], 0
-
-        def added() -> list[np.ndarray]:
-            # a column at a time: not all of them are in memory twice
-            column = lambda i: np.concatenate([h[i] for h in held])
-            key = column(0)
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            key, n = key[first], np.add.reduceat(column(3)[order], first)
-            order = order[first]
-            return [key, column(1)[order], column(2)[order], n]
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            for lo in range(0, len(held[0][0]), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 200_000]) for c in held[0][1:]], ["context", "word", "n"])
-
-        for batch in batches:
-            data, offsets = utf8(batch.column(0))
-            for lo, hi in blocks(offsets):
-                base = offsets[lo]
-                seq, doc, first = _sequence(data[base : offsets[hi]], offsets[lo : hi + 1] - base)
-                # both the head and the tail of a string occur as often as the string
-                at = np.flatnonzero(np.arange(len(seq)) - first[doc] >= length - 1)
-                at = at[_may_hold(table, _key_at(seq, at, length - 1))]
-                context = _key_at(seq, at - 1, length - 1)
-                own = _may_hold(table, context)
-                at, context = at[own], context[own]
-                key, place, n = np.unique(_longer(context, seq[at]), return_index=True, return_counts=True)
-                held.append([key, context[place], seq[at[place]], n])
-                size += len(key)
-                if size > 2 * _HELD:
-                    held = [added()]
-                    size = len(held[0][0])
+        def sent() -> Iterator[tuple]:
+            table, held, size = shared.value, [], 0
+            for batch in batches:
+                data, offsets = utf8(batch.column(0))
+                for lo, hi in blocks(offsets):
+                    base = offsets[lo]
+                    seq, doc, first = _sequence(data[base : offsets[hi]], offsets[lo : hi + 1] - base)
+                    # both the head and the tail of a string occur as often as the string
+                    key = _keys(seq, length - 1)[-1]
+                    may = _may_hold(table, key)
+                    at = np.flatnonzero(may[1:] & may[:-1] & (np.arange(1, len(seq)) - first[doc[1:]] >= length - 1))
+                    held.append((key[at], key[at + 1]))
+                    size += len(at)
                     if size > _HELD:
-                        yield from sent()
+                        yield from added(held)
                         held, size = [], 0
-        if size:
-            held = [added()]
-            yield from sent()
+            if size:
+                yield from added(held)
 
-    counts = docs.select("text").mapInArrow(count, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
-    # written before it is joined, so that the partial counts are gone by then
-    return written(counts.where(F.col("n") >= least), "strings")
+        yield from _batches(sent())
 
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple]:
+        head, tail = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        key, head, tail, n = _summed(head, tail, None)
+        yield from _dealt(0, [head, tail, n], key, parts, near=head)
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    """`rows`, whose first columns are context and word, with the key of the string before them."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _gathered(batches, {0: (np.int64, np.int64, np.int64)})[0]
+        _, head, tail, n = _summed(*held)
+        often = n >= least
+        head, tail, n = head[often], tail[often], n[often]
+        yield from _batches(_dealt(1, [head, tail, n], tail, parts, near=tail))
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            context, word = (np.asarray(batch.column(i)) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(_longer(context, word)), *batch.columns], ["key", *batch.schema.names])
+    # written before it is looked up, so that the partial counts are gone by then
+    return written(_exchanged(docs.select("text").mapInArrow(count, _SCHEMA), parts).mapInArrow(add, _SCHEMA), "strings")
 
-    return rows.mapInArrow(key, "key long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
+
+def _summed(head: np.ndarray, tail: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """Key, head, tail and n of each different string; without n, each row is one occurrence."""
+    key = _longer(head, tail)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    n = np.diff(np.r_[new, len(key)]) if n is None else np.add.reduceat(n[order], new) if len(key) else n
+    return key[new], head[order[new]], tail[order[new]], n
+
+
+def _level(strings: DataFrame, shorter: DataFrame, parts: int, ln: float, smoothing: float, penalty: float, last: bool) -> DataFrame:
+    """What is learnt of strings: rows of kind 1, key, n, ratio (nan: not stored) and p, and of kind 2, key, n and left of contexts.
+
+    `shorter` has key, n, ratio and p of the strings with one word less, as rows of kind 1. A head's strings
+    all go to one part: as many at most as there are different words after it.
+    """
+
+    def parent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = _gathered(batches, {0: (np.int64, np.float64), 1: (np.int64, np.int64, np.int64)})
+        (key, p), (head, tail, n) = both[0], both[1]
+        order = np.argsort(key)
+        at = _find(key[order], tail)
+        own = at >= 0
+        head, tail, n, p = head[own], tail[own], n[own], p[order[at[own]]]
+        yield from _batches(_dealt(1, [head, tail, n, p], head, parts, near=head))
+
+    def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = _gathered(batches, {0: (np.int64, np.int64), 1: (np.int64, np.int64, np.int64, np.float64)})
+        (key, total), (head, tail, n, parent) = both[0], both[1]
+        order = np.argsort(key)
+        key, total = key[order], total[order]
+        at = _find(key, head)
+        own = at >= 0
+        at, head, tail, n, parent = at[own], head[own], tail[own], n[own], parent[own]
+        share = n / total[at]
+        add = lambda values: np.bincount(at, values, len(key)).astype(float, copy=False)
+        size = np.bincount(at, minlength=len(key))
+        mass = np.minimum(add(share), 1.0)
+        gain, other = add(n * np.log(share / parent)), 1 - mass
+        rest = total * other * np.log(np.maximum(other, 1e-12) / np.maximum(1 - add(parent), 1e-12))
+        gain += np.where(other > 1e-12, rest, 0.0)
+        kept = (size > 0) & (gain > penalty * ln * size)
+        weight = total / (total + smoothing)
+        left = 1 - weight * mass
+        before = left[at] * parent
+        p = before + weight[at] * share
+        stored = kept[at]
+        ratio, p, string = np.where(stored, p / before, np.nan), np.where(stored, p, parent), _longer(head, tail)
+        if last:
+            string, n, ratio, p = string[stored], n[stored], ratio[stored], p[:0]
+        columns = [string, n, ratio] + [p] * (not last)
+
+        def sent() -> Iterator[tuple]:
+            yield from _dealt(1, columns, string, parts)
+            yield from _dealt(2, [key[kept], total[kept], left[kept]], key[kept], parts)
+
+        yield from _batches(sent())
+
+    def beside(rows: DataFrame, column: str) -> DataFrame:
+        own = shorter.where("kind = 1").select("part", F.lit(0).alias("kind"), "src", "c0", F.col(column).alias("c1"), *(F.lit(None).cast("binary").alias(c) for c in _BLOBS[2:]))
+        return _exchanged(rows.unionByName(own), parts)
+
+    return written(beside(beside(strings, "c3").mapInArrow(parent, _SCHEMA), "c1").mapInArrow(learnt, _SCHEMA), "level")
+
+
+_LEVEL = {1: (np.int64, np.int64, np.float64), 2: (np.int64, np.int64, np.float64)}
+
+
+def _common(level: DataFrame, kind: int, least: int) -> DataFrame:
+    """key and value of the rows of a kind that occur `least` times, and of the start."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, (key, n, value) in _read(batches, _LEVEL):
+            own = ((n >= least) | (key == START)) & ~np.isnan(value)
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(value[own])], ["key", "value"])
+
+    return level.where(F.col("kind") == kind).mapInArrow(pick, "key long, value double")
+
+
+def _rest(level: DataFrame, contexts: int, strings: int) -> DataFrame:
+    """Rows of kind 1 with key and logarithm of what is rarer, in the same parts."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent() -> Iterator[tuple]:
+            for part, kind, _, (key, n, value) in _read(batches, _LEVEL):
+                own = (n < (strings if kind == 1 else contexts)) & (key != START) & ~np.isnan(value)
+                if own.any():
+                    yield part, 1, 0, [key[own], np.log10(value[own])]
+
+        yield from _batches(sent())
+
+    return level.mapInArrow(pick, _SCHEMA)
+
+
+def _packed(rows: DataFrame, kind: int, columns, parts: int) -> DataFrame:
+    """Rows of key and n as arrays: columns(key, n), dealt by key."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent() -> Iterator[tuple]:
+            held, size = [], 0
+            for batch in batches:
+                held.append([np.asarray(c) for c in batch.columns])
+                size += batch.num_rows
+                if size > _HELD:
+                    yield from dealt(held)
+                    held, size = [], 0
+            if size:
+                yield from dealt(held)
+
+        yield from _batches(sent())
+
+    def dealt(held: list) -> Iterator[tuple]:
+        key, n = (np.concatenate(c) for c in zip(*held))
+        return _dealt(kind, columns(key, n), key, parts)
+
+    return rows.select("key", "n").mapInArrow(pack, _SCHEMA)
 
 
 def _sorted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -237,20 +432,19 @@ class Tree:
         """Numbers of frequent words, -1 for others."""
         return self._at("words", 0, keys)
 
-    def probability(self, ids: np.ndarray, doc: np.ndarray, first: np.ndarray, seq: np.ndarray | None = None) -> np.ndarray:
+    def probability(self, ids: np.ndarray, doc: np.ndarray, first: np.ndarray, keys: list[np.ndarray] | None = None) -> np.ndarray:
         """P of each position by what is frequent; that of a rare word (ids < 0) still lacks its root probability.
 
-        seq has the keys of the words; without it, those of rare words count as unknown.
+        keys has those of the words and strings that end at each place; without it, rare words count as unknown.
         """
-        if seq is None:
-            seq = np.where(ids >= 0, self.words[ids] if len(self.words) else 0, 0)
+        if keys is None:
+            keys = _keys(np.where(ids >= 0, self.words[ids] if len(self.words) else 0, 0), len(self.contexts) + 1)
         p = np.ones(len(ids))
         p[ids >= 0] = self.root[ids[ids >= 0]] if len(self.root) else 1.0
         since = np.arange(len(ids)) - first[doc]
         for level, ((_, left), (_, ratio)) in enumerate(zip(self.contexts, self.strings), 1):
             at = np.flatnonzero(since >= level)
-            prior = _key_at(seq, at - 1, level)
-            state, stored = self._at("contexts", level - 1, prior), self._at("strings", level - 1, _longer(prior, seq[at]))
+            state, stored = self._at("contexts", level - 1, keys[level - 1][at - 1]), self._at("strings", level - 1, keys[level][at])
             p[at[state >= 0]] *= left[state[state >= 0]]
             p[at[stored >= 0]] *= ratio[stored[stored >= 0]]
         return p
@@ -259,13 +453,15 @@ class Tree:
 def fit(train: DataFrame, word_share: float, min_share: float, smoothing: float, penalty: float, depth: int, min_count: int = 2) -> tuple[Tree, DataFrame, int, int]:
     """What is frequent of the tree, a table of the rest, N and V, from the column text of `train`.
 
-    The table has key, known, base and score: what an occurrence of the word or string adds to n_known,
-    and to the logarithms of its text's probabilities; the root's last part, 1 / (N + V + 1), is left out.
+    The table has arrays of keys (c0) and logarithms (c1) by part: of words as kind 0, where an occurrence
+    adds one to n_known and the logarithm to both of its text's, and of strings and contexts as kind 1,
+    where it is added to the score only; the root's last part, 1 / (N + V + 1), is left out.
     """
     spark = train.sparkSession
     counts = written(_counted(train, lambda seq, doc, first: seq).where(F.col("key") != START), "words")
     total = counts.agg(F.sum("n"), F.count("*")).first()
     n, v = int(total[0] or 0), int(total[1])
+    parts = _parts(spark, n)
     often, least = (max(2, int(np.ceil(share * n))) for share in (word_share, min_share))
     keys, c = _sorted(counts.where(F.col("n") >= often).select("key", "n"))
     starts = counts.where(F.col("key") == END).select("n").collect()
@@ -273,51 +469,25 @@ def fit(train: DataFrame, word_share: float, min_share: float, smoothing: float,
     keys, c = np.append(keys, START), np.append(c, texts)
     keys, c = keys[(order := np.argsort(keys))], c[order]
     tree = Tree(keys, (c + 1) / (n + v + 1))
-    known = F.log10(F.col("n") + 1.0)
-    parts = [counts.where(F.col("n") < often).select("key", F.lit(1).alias("known"), known.alias("base"), known.alias("score"))]
-    rest = lambda rows, factor: rows.select("key", F.lit(0).alias("known"), F.lit(0.0).alias("base"), F.log10(factor).alias("score"))
-    shorter = counts.unionByName(spark.createDataFrame([(START, texts)], "key long, n long")).where(F.col("n") >= min_count).withColumn("tail", F.lit(0).cast("long"))
-    parents = counts.select(F.col("key").alias("word"), F.col("key").alias("end"), ((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("parent"))
+    rest = [written(_packed(counts.where(F.col("n") < often), 0, lambda key, n: [key, np.log10(n + 1.0)], parts), "rest")]
+    shorter = counts.unionByName(spark.createDataFrame([(START, texts)], "key long, n long")).where(F.col("n") >= min_count)
+    level = written(_packed(shorter, 1, lambda key, c: [key, c, np.full(len(key), np.nan), (c + 1) / (n + v + 1)], parts), "level")
+    freed(counts)
     for length in range(2, depth + 2):
-        shared = spark.sparkContext.broadcast(_filter(shorter))
-        heads = shorter.select(F.col("key").alias("context"), F.col("n").alias("total"), "tail")
-        on = ["word"] if length == 2 else ["tail", "word"]
-        share = F.col("n") / F.col("total")
-        # tail: the context without its first word; end: the string without its first word
-        strings = _strings(train, length, shared, min_count)
-        swept(spark)
-        found = written(_keyed(strings.join(heads.hint("shuffle_hash"), "context").join(parents.hint("shuffle_hash"), on).select("context", "word", "n", "total", "end", "parent")), "found")
-        freed(strings, *([level] if length > 2 else []))
-        held = found.withColumn("share", share).groupBy("context").agg(
-            F.max("total").alias("n"),
-            F.count("*").alias("size"),
-            F.least(F.sum("share"), F.lit(1.0)).alias("mass"),
-            F.sum("parent").alias("parent_mass"),
-            F.sum(F.col("n") * F.log(F.col("share") / F.col("parent"))).alias("gain"),
-        )
-        other = 1 - F.col("mass")
-        gain = F.col("gain") + F.when(other > 1e-12, F.col("n") * other * F.log(F.greatest(other, F.lit(1e-12)) / F.greatest(1 - F.col("parent_mass"), F.lit(1e-12)))).otherwise(0.0)
-        weight = F.col("n") / (F.col("n") + F.lit(smoothing))
-        kept = held.where(gain > penalty * float(np.log(max(n, 2))) * F.col("size"))
-        kept = written(kept.select(F.col("context").alias("key"), "n", weight.alias("weight"), (1 - weight * F.col("mass")).alias("left")), "contexts")
-        level = found.join(kept.select(F.col("key").alias("context"), "weight", "left").hint("shuffle_hash"), "context", "left" if length <= depth else "inner")
-        left = F.col("left") * F.col("parent")
-        p = F.coalesce(left + F.col("weight") * share, F.col("parent"))
-        # after the last length, only what is stored is read again
-        more = [F.col(c) for c in ("context", "word", "end")] + [p.alias("p")] if length <= depth else []
-        level = written(level.select("key", "n", (p / left).alias("ratio"), *more), "level")
-        freed(found)
-        common = (F.col("n") >= often) | (F.col("key") == START) if length == 2 else F.col("n") >= least
-        stored = level.where(F.col("ratio").isNotNull())
-        tree.contexts.append(_sorted(kept.where(common).select("key", "left")))
-        tree.strings.append(_sorted(stored.where(F.col("n") >= least).select("key", "ratio")))
-        parts += [rest(kept.where(~common), F.col("left")), written(rest(stored.where(F.col("n") < least), F.col("ratio")).select("key", "score"), "rest").select("key", F.lit(0).alias("known"), F.lit(0.0).alias("base"), "score")]
-        if length > depth:
-            freed(level)
-            break
-        shorter = level.select("key", "n", F.col("end").alias("tail"))
-        parents = level.select(F.col("context").alias("tail"), "word", F.col("key").alias("end"), F.col("p").alias("parent"))
-    return tree, reduce(DataFrame.unionByName, parts), n, v
+        shared = spark.sparkContext.broadcast(_filter(level.where("kind = 1")))
+        strings = _strings(train, length, shared, min_count, parts)
+        shorter, level = level, _level(strings, level, parts, float(np.log(max(n, 2))), smoothing, penalty, length > depth)
+        freed(strings, shorter)
+        contexts = often if length == 2 else least
+        tree.contexts.append(_sorted(_common(level, 2, contexts)))
+        tree.strings.append(_sorted(_common(level, 1, least)))
+        rest.append(written(_rest(level, contexts, least), "rest"))
+    freed(level)
+    return tree, reduce(DataFrame.unionByName, rest), n, v
+
+
+def _parts(spark: SparkSession, tokens: int) -> int:
+    return min(1 << 16, max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // _PART_TOKENS + 1))
 
 
 def suffix_tree_scores(
@@ -343,79 +513,104 @@ def suffix_tree_scores(
     sized(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     tree, rest, n, v = fit(rows.where(~F.col("held_out")), word_share, min_share, smoothing, penalty, depth, min_count)
-    shared = spark.sparkContext.broadcast((tree, _filter(rest.where("known = 0"))))
-    unit = float(np.log10(n + v + 1))
-    plain = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
-    names = plain + [f"{c}{t}" for t in range(1 << _TURNS) for c in ("tail", "times")]
+    shared = spark.sparkContext.broadcast((tree, _filter(rest.where("kind = 1"))))
+    parts, unit = _parts(spark, n), float(np.log10(n + v + 1))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of kind 2, keys that texts look up and the texts' numbers, and of kind 3, what is known of the texts."""
         tree, table = shared.value
-        rid = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            data, offsets = utf8(batch.column(2))
-            for lo, hi in blocks(offsets):
-                base = offsets[lo]
-                seq, doc, first = _sequence(data[base : offsets[hi]], offsets[lo : hi + 1] - base)
-                m = hi - lo
-                ids = tree.find_words(seq)
-                p = np.log10(tree.probability(ids, doc, first, seq))
-                p[first[:-1]] = 0
-                known = ids >= 0
-                known[first[:-1]] = False
-                root = np.log10(tree.root[ids[known]])
-                # rare words, and strings that may be among the tree's rest
-                rare = np.flatnonzero(ids < 0)
-                unseen = unit * np.bincount(doc[rare], minlength=m)
-                since, found = np.arange(len(seq)) - first[doc], [(seq[rare], doc[rare])]
-                for length in range(2, depth + 2):
-                    at = np.flatnonzero(since >= length - 1)
-                    key = _key_at(seq, at, length)
-                    may = _may_hold(table, key)
-                    found.append((key[may], doc[at[may]]))
-                k, d = (np.concatenate(c) for c in zip(*found))
-                # by document, and there by as many bits of the key as fit; one that is cut in two is two rows
-                bits = np.uint64(int(m).bit_length())
-                order = np.argsort(d.astype(np.uint64) << (np.uint64(64) - bits) | k.view(np.uint64) >> bits)
-                k, d = k[order], d[order]
-                new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]) if len(k) else np.empty(0, np.int64)
-                times = np.diff(np.r_[new, len(k)]).astype(np.int32)
-                k, d = k[new], d[new]
-                turn, tails = k.view(np.uint64) >> np.uint64(64 - _TURNS), []
-                for t in range(1 << _TURNS):
-                    own = turn == t
-                    per = pa.array(np.r_[0, np.cumsum(np.bincount(d[own], minlength=m))].astype(np.int32))
-                    tails += [pa.ListArray.from_arrays(per, pa.array(k[own])), pa.ListArray.from_arrays(per, pa.array(times[own]))]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(rid, rid + m)),
-                        batch.column(0).slice(lo, m),
-                        batch.column(1).slice(lo, m),
-                        pa.array(np.diff(first) - 1),
-                        pa.array(np.bincount(doc[known], minlength=m)),
-                        pa.array(np.bincount(doc[known], root, m).astype(float) - unseen),
-                        pa.array(np.bincount(doc, p, m) - unseen),
-                        *tails,
-                    ],
-                    names,
-                )
-                rid += m
-
-    schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, " + ", ".join(f"tail{t} array<long>, times{t} array<int>" for t in range(1 << _TURNS))
-    scored, more = written(rows.mapInArrow(score, schema), "scored"), []
-    for t in range(1 << _TURNS):
-        tail = scored.select("rid", F.explode(F.arrays_zip(F.col(f"tail{t}").alias("key"), F.col(f"times{t}").alias("times"))).alias("t")).select("rid", "t.key", "t.times")
-        # a key has a few rows of `rest` at most, and keys are hashes: a partition holds its share of them, and needs no sort
-        part = rest.where(F.shiftrightunsigned("key", 64 - _TURNS) == t).hint("shuffle_hash")
-        more.append(written(tail.join(part, "key").groupBy("rid").agg(*(F.sum(F.col("times") * F.col(c)).alias(f"more_{c}") for c in ("known", "base", "score"))), "more"))
-        swept(spark)
-    tail = reduce(DataFrame.union, more).groupBy("rid").agg(*(F.sum(f"more_{c}").alias(f"more_{c}") for c in ("known", "base", "score")))
-    added = lambda c, more: F.col(c) + F.coalesce(F.col(more), F.lit(0))
-    return scored.select(plain).join(tail, "rid", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        added("n_known", "more_known").cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        added("base", "more_base").alias("base_score"),
-        added("score", "more_score").alias("score"),
-    )
+        own = TaskContext.get().partitionId()
+
+        def sent() -> Iterator[tuple]:
+            src, held, info, size, docs = own << 24, [], [], 0, 0
+
+            def ready() -> Iterator[tuple]:
+                key, doc = (np.concatenate(c) for c in zip(*held))
+                yield from _dealt(2, [key, doc], key, parts, src=src)
+                told = pa.Table.from_batches(info).combine_chunks().to_batches()
+                yield own % parts, 3, src, [np.frombuffer(told[0].serialize(), np.uint8)]
+
+            for batch in batches:
+                data, offsets = utf8(batch.column(2))
+                for lo, hi in blocks(offsets):
+                    base = offsets[lo]
+                    seq, doc, first = _sequence(data[base : offsets[hi]], offsets[lo : hi + 1] - base)
+                    m = hi - lo
+                    keys = _keys(seq, depth + 1)
+                    ids = tree.find_words(seq)
+                    p = np.log10(tree.probability(ids, doc, first, keys))
+                    p[first[:-1]] = 0
+                    known = ids >= 0
+                    known[first[:-1]] = False
+                    root = np.log10(tree.root[ids[known]])
+                    # rare words, and strings that may be among the tree's rest
+                    rare = ids < 0
+                    unseen = unit * np.bincount(doc[rare], minlength=m)
+                    since, at = np.arange(len(seq)) - first[doc], [np.flatnonzero(rare)]
+                    at += [np.flatnonzero(_may_hold(table, key) & (since >= k)) for k, key in enumerate(keys[1:], 1)]
+                    key, at = np.concatenate([k[i] for k, i in zip(keys, at)]), np.concatenate(at)
+                    order = np.argsort(doc[at], kind="stable")
+                    held.append((key[order], (doc[at[order]] + docs).astype(np.int32)))
+                    columns = (np.diff(first) - 1, np.bincount(doc[known], minlength=m), np.bincount(doc[known], root, m).astype(float) - unseen, np.bincount(doc, p, m) - unseen)
+                    info.append(pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, m) for k in (0, 1)), *map(pa.array, columns)], schema=_INFO))
+                    size += len(at)
+                    docs += m
+                    if size > _HELD:
+                        yield from ready()
+                        src, held, info, size, docs = src + 1, [], [], 0, 0
+            if docs:
+                yield from ready()
+
+        yield from _batches(sent())
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of kind 2, texts that found something: their numbers, what it adds to score, known and base."""
+
+        def sent() -> Iterator[tuple]:
+            tree_rows, places = [], None
+            for part, kind, src, arrays in _read(batches, {0: (np.int64, np.float64), 1: (np.int64, np.float64), 2: (np.int64, np.int32)}):
+                if kind == 3:
+                    yield part, kind, src, [arrays[0].copy()]
+                    continue
+                if kind < 2:
+                    tree_rows.append((arrays[0], arrays[1], np.full(len(arrays[0]), kind == 0)))
+                    continue
+                if places is None:
+                    key, value, word = (np.concatenate(c) for c in zip(*tree_rows)) if tree_rows else (np.empty(0, np.int64), np.empty(0), np.empty(0, bool))
+                    tree_rows.clear()
+                    order = np.argsort(key)
+                    key, value, word = key[order], value[order], word[order]
+                    # a word's key is also that of a context
+                    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+                    added = lambda c: np.add.reduceat(c, new) if len(new) else c
+                    places, score, base, known = Places(key[new]), added(value), added(np.where(word, value, 0.0)), added(word.astype(np.int64))
+                at = places.find(arrays[0])
+                hit = at >= 0
+                at, doc = at[hit], arrays[1][hit]
+                if len(at):
+                    new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+                    yield part, 2, src, [doc[new], *(np.add.reduceat(c[at], new) for c in (score, known, base))]
+
+        yield from _batches(sent())
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        info, more = {}, {}
+        for _, kind, src, arrays in _read(batches, {2: (np.int32, np.float64, np.int64, np.float64)}):
+            if kind == 3:
+                info[src] = pa.ipc.read_record_batch(pa.py_buffer(arrays[0].tobytes()), _INFO)
+            else:
+                more.setdefault(src, []).append(arrays)
+        for src, batch in info.items():
+            plain, added = batch.columns, [np.asarray(c).copy() for c in (batch.column(5), batch.column(3), batch.column(4))]
+            for doc, *columns in more.get(src, []):
+                for total, c in zip(added, columns):
+                    total[doc] += c
+            score, known, base = map(pa.array, added)
+            yield pa.RecordBatch.from_arrays([*plain[:3], known, pa.array(np.full(len(batch), n)), base, score], names)
+
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    # the tree comes before what is looked up in it
+    both = _exchanged(rest.unionByName(rows.mapInArrow(look, _SCHEMA)), parts).sortWithinPartitions("kind")
+    sums = written(both.mapInArrow(found, _SCHEMA), "found")
+    back = sums.withColumn("part", F.shiftright("src", 24).cast("int"))
+    return _exchanged(back, parts).mapInArrow(told, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

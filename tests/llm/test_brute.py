@@ -241,6 +241,27 @@ def test_strings_count_by_occurrences(spark, share):
         assert r["score"] == pytest.approx(plain(texts[r["doc_id"]]), rel=1e-9)
 
 
+def test_strings_are_exchanged_as_arrays(spark, monkeypatch):
+    """No table has a row for each string, and many parts give the scores of the plain tree."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 200) % 3000) for _ in range(60)] * 2 + ["", "w1 w2 never w1 w2"]
+    held, sizes, written = len(texts) - 2, [], suffix_tree.written
+    _, plain = plain_tree(texts[:held], 4.0, 0.5, 2, 2)
+
+    def measured(df, name):
+        table = written(df, name)
+        sizes.append((name, table.count()))
+        return table
+
+    monkeypatch.setattr(suffix_tree, "written", measured)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = suffix_tree.suffix_tree_scores(docs, F.col("doc_id") >= held).collect()
+    assert max(n for name, n in sizes if name != "words") <= 200 < len({*zip(texts[0].split(), texts[0].split()[1:])}) * 60
+    for r in rows:
+        assert r["score"] == pytest.approx(plain(texts[r["doc_id"]]), rel=1e-9)
+    assert len(rows) == len(texts)
+
+
 # --- near duplicates
 
 
