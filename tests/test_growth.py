@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from test_operators import naive_bleu
 
-from tessera.operators import neighbours
+from tessera.operators import neighbours, ngrams
 from tessera.queries import QUERIES
 
 
@@ -89,3 +90,21 @@ def test_thresholds_share_neighbours(spark, sf, monkeypatch):
     monkeypatch.setattr(neighbours, "nearest", lambda *a, **b: calls.append(1) or nearest(*a, **b))
     assert QUERIES["knn_precision_recall"](spark, sf).count() == 2
     assert len(calls) == 2
+
+
+def test_ngrams_travel_as_arrays(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdefgh"), rng.integers(0, 60))) for _ in range(40)]
+    texts += [texts[0] + " x", "a a a a a a", "a a a a a a"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    monkeypatch.setattr(ngrams, "RANGE", 50, raising=False)
+    row = ngrams.self_bleu(df).agg(F.sum("copies").alias("n"), (F.sum(F.col("copies") * F.col("bleu")) / F.sum("copies")).alias("b")).first()
+    assert row["n"] == len(texts) and row["b"] == pytest.approx(naive_bleu(texts), abs=1e-9)
+    own = df.groupBy(F.sha2("text", 256).alias("text_hash")).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+    made = ngrams._matches(own, 2000)
+    assert made.count() == len(set(texts)) and "Generate" not in plan(made)
+
+
+def test_numbers_come_back():
+    for x in ([], [0], [0, 255, 256], [2**64 - 1, 0, 7]):
+        assert ngrams._numbers(ngrams._bytes(np.array(x, np.uint64))).tolist() == x
