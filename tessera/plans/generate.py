@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import hash_gaussian, hash_uniform, masked, nonempty, target_words, tone_prefix, words
+from tessera.functions.masking import masked_words
+from tessera.functions.text import hash_gaussian, hash_uniform, nonempty, target_words, tone_prefix
 from tessera.models import generated
 from tessera.operators.choice import chosen, second_attempt, sigma
 from tessera.operators.sampling import stratified_sample
 
+#: Texts whose words are masked at a time.
+PART = 256
+
 
 def length_budget(texts: DataFrame, key: str = "doc_id", spread: float = 2.5, least: int = 25, scale: float = 1.2, limit: int = 1200) -> DataFrame:
     """key, target (words with noise, at least `least`), max_tokens, and the band of accepted lengths."""
@@ -47,11 +54,29 @@ def guarded(attempts: DataFrame, key: str = "doc_id") -> DataFrame:
     return attempts.groupBy(key).agg(F.max_by(F.struct("cand", "label", "confidence", "target"), rank).alias("best")).select(key, "best.*")
 
 
-def variations(texts: DataFrame, number: int = 2, share: float = 0.25, keep_original: bool = True, key: str = "doc_id") -> DataFrame:
-    """key, var_idx and text: `number` masked variants of each text, and the original as 0."""
-    numbers = F.explode(F.sequence(F.lit(1), F.lit(number))).alias("var_idx")
-    new = texts.select(key, "text", numbers).select(key, "var_idx", masked(F.col("text"), F.concat_ws("/", F.col(key).cast("string"), F.col("var_idx").cast("string")), share).alias("text"))
-    return new.unionByName(texts.select(key, F.lit(0).alias("var_idx"), F.array_join(words(F.col("text")), " ").alias("text"))) if keep_original else new
+def variations(texts: DataFrame, number: int = 2, share: float = 0.25, keep_original: bool = True, key: str = "doc_id", seed: int = 42) -> DataFrame:
+    """key, var_idx and text: `number` masked variants of each text, and the original as 0.
+
+    The masks are those of text.masked under key and variant.
+    """
+
+    def vary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, PART):
+                part = batch.slice(lo, PART)
+                names = [b"%d|%s" % (seed, n.encode()) for n in part.column(2).to_pylist()]
+                # white space of bytes is that of words()
+                texts = [(t or b"").split() for t in part.column(1).cast(pa.binary()).to_pylist()]
+                if keep_original:
+                    yield made(part, 0, [b" ".join(w) for w in texts])
+                for v in range(1, number + 1):
+                    yield made(part, v, masked_words(texts, [b"%s/%d" % (n, v) for n in names], share))
+
+    def made(part: pa.RecordBatch, v: int, text: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array([v] * len(text), pa.int32()), pa.array(text, pa.binary()).cast(pa.string())], [key, "var_idx", "text"])
+
+    own = texts.select(key, "text", F.coalesce(F.col(key).cast("string"), F.lit("")).alias("name"))
+    return own.mapInArrow(vary, f"`{key}` {own.schema[key].dataType.simpleString()}, var_idx int, text string")
 
 
 def synthesis(samples: DataFrame, size: int, model: str = "echo", copies: int = 2, key: str = "doc_id") -> DataFrame:
