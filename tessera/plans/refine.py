@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tessera.functions.redact import redacted
 from tessera.operators.likelihood import equal_depth_bins, mean_nll, representatives, unigram_counts
 from tessera.operators.ranking import percentile, ranked
-from tessera.storage import written
 
 
 def redacted_texts(texts: DataFrame, column: str = "text") -> DataFrame:
@@ -27,7 +26,7 @@ def farthest_likelihood(scores: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def refinement_filter(private: DataFrame, synthetic: DataFrame, bins: int = 250, cut: float = 0.1, key: str = "doc_id") -> DataFrame:
     """key, nll and score of the synthetic texts that stay: those not below the `cut` percentile of score."""
-    counts = written(unigram_counts(synthetic), "unigrams")
+    counts = unigram_counts(synthetic)
     chosen = representatives(equal_depth_bins(mean_nll(private, counts, key), "nll", key, bins), "nll")
     scores = farthest_likelihood(mean_nll(synthetic, counts, key), chosen).select(key, "nll", "score")
     ranks = ranked(scores, "score", key)

@@ -10,7 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import naive_bleu
 
-from tessera.operators import neighbours, ngrams
+from tessera.functions import text
+from tessera.functions.masking import uniforms
+from tessera.operators import likelihood, neighbours, ngrams
+from tessera.plans import generate
 from tessera.queries import QUERIES
 
 
@@ -108,3 +111,42 @@ def test_ngrams_travel_as_arrays(spark, monkeypatch):
 def test_numbers_come_back():
     for x in ([], [0], [0, 255, 256], [2**64 - 1, 0, 7]):
         assert ngrams._numbers(ngrams._bytes(np.array(x, np.uint64))).tolist() == x
+
+
+def test_likelihood_with_rare_words(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice([f"w{k}" for k in range(30)], 20)) if i % 7 else ["", None, " \t\n", "w1\x0bw1\u00a0w2"][i % 4]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts = likelihood.unigram_counts(df.where("doc_id % 2 = 1"))
+    want = {r["doc_id"]: (r["n_words"], r["nll"]) for r in likelihood.mean_nll(df, counts).collect()}
+    n = {r["word"]: r["n"] for r in counts.collect()}
+    size = sum(n.values()) + len(n)
+    for i, t in rows:
+        own = [w.decode() for w in (t or "").encode().split()]
+        assert (i in want) == bool(own)
+        if own:
+            assert want[i] == (len(own), pytest.approx(np.mean([-np.log((n.get(w, 0) + 1) / size) for w in own]), abs=1e-6))
+    monkeypatch.setattr(likelihood, "COMMON", 5)
+    few = likelihood.mean_nll(df, counts)
+    assert {r["doc_id"]: (r["n_words"], pytest.approx(r["nll"], abs=2e-6)) for r in few.collect()} == want
+    # before they meet the counts, words are not rows of a shuffle by text and word
+    assert "Generate" not in plan(few)
+
+
+def test_masks_are_those_of_the_column(spark):
+    texts = ["", " a\tb  c\x0bd\u00a0e ", None, " ".join(f"w{i}" for i in range(1200)), "x"]
+    df = spark.createDataFrame([(10**12 * i - 5, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    made = generate.variations(df)
+    assert "md5" not in plan(made)
+    got = {(r["doc_id"], r["var_idx"]): r["text"] for r in made.collect()}
+    for v in (1, 2):
+        key = F.concat(F.col("doc_id").cast("string"), F.lit(f"/{v}"))
+        assert {r[0]: r[1] for r in df.select("doc_id", text.masked(F.col("text"), key, 0.25)).collect()} == {k: t for (k, n), t in got.items() if n == v}
+    assert {r[0]: r[1] for r in df.select("doc_id", text.normalised(F.col("text"))).collect()} == {k: t for (k, n), t in got.items() if n == 0}
+
+
+def test_uniforms(spark):
+    keys, counts = [b"42|7", b"42|" + b"k" * 60, b"42|" + b"k" * 48, b"x"], [1101, 12, 120, 0]
+    rows = [(k.decode(), n) for k, c in zip(keys, counts, strict=True) for n in range(c)]
+    want = [r[0] for r in spark.createDataFrame(rows, "k string, n long").coalesce(1).select(text.hash_uniform(F.col("k"), F.col("n"))).collect()]
+    assert uniforms(keys, np.array(counts)).tolist() == want
