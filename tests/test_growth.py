@@ -13,7 +13,8 @@ from test_operators import naive_bleu
 from tessera.functions import text
 from tessera.functions.masking import uniforms
 from tessera.operators import likelihood, neighbours, ngrams
-from tessera.plans import generate
+from tessera.operators.kmeans import closest, plus_plus
+from tessera.plans import evaluate, generate
 from tessera.queries import QUERIES
 
 
@@ -150,3 +151,30 @@ def test_uniforms(spark):
     rows = [(k.decode(), n) for k, c in zip(keys, counts, strict=True) for n in range(c)]
     want = [r[0] for r in spark.createDataFrame(rows, "k string, n long").coalesce(1).select(text.hash_uniform(F.col("k"), F.col("n"))).collect()]
     assert uniforms(keys, np.array(counts)).tolist() == want
+
+
+def test_kmeans_side_by_side_is_as_good_as_mllib(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(12, 6))[rng.integers(0, 12, 600)] * 4 + rng.normal(size=(600, 6)) * 0.3
+    p, q = vectors(spark, x[:300]), vectors(spark, x[300:])
+
+    def cost():
+        found = evaluate.clustered(p, q, 12, share=1.0, restarts=3)[0].toPandas()
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        own = u[np.where(found["side"] == "p", 0, 300) + found["id"]]
+        assert len(found) == 600
+        return sum(((own[found["label"] == k] - own[found["label"] == k].mean(0)) ** 2).sum() for k in set(found["label"]))
+
+    by_mllib = cost()
+    monkeypatch.setattr(evaluate, "MLLIB_PAIRS", 0, raising=False)
+    monkeypatch.setattr("pyspark.ml.clustering.KMeans.fit", None)
+    assert cost() <= by_mllib * 1.1
+
+
+def test_closest_and_starts():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 5))
+    label, far = closest(x, x[:700])
+    apart = ((x[:, None] - x[None, :700]) ** 2).sum(2)
+    assert np.array_equal(label, apart.argmin(1)) and np.allclose(far, apart.min(1), atol=1e-9)
+    assert plus_plus(np.ones((5, 2)), np.ones(5), 3, 1).shape == (3, 2)
