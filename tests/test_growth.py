@@ -12,7 +12,7 @@ from test_operators import naive_bleu
 
 from tessera.functions import text
 from tessera.functions.masking import uniforms
-from tessera.operators import likelihood, neighbours, ngrams
+from tessera.operators import likelihood, moments, neighbours, ngrams
 from tessera.operators.kmeans import closest, plus_plus
 from tessera.plans import evaluate, generate
 from tessera.queries import QUERIES
@@ -178,3 +178,15 @@ def test_closest_and_starts():
     apart = ((x[:, None] - x[None, :700]) ** 2).sum(2)
     assert np.array_equal(label, apart.argmin(1)) and np.allclose(far, apart.min(1), atol=1e-9)
     assert plus_plus(np.ones((5, 2)), np.ones(5), 3, 1).shape == (3, 2)
+
+
+def test_sinkhorn_rounds_are_dealt_to_the_cores(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x, y = (rng.normal(size=(n, 3)).astype(np.float32) for n in (160, 140))
+    want = moments.sinkhorn_divergence(x.astype(float), y.astype(float), rounds=12)
+    assert moments.sinkhorn_divergence(x.astype(float), y.astype(float), rounds=12, spark=spark) == pytest.approx(want, abs=1e-9)
+    given = []
+    monkeypatch.setattr(evaluate, "LOCAL_PAIRS", 100, raising=False)
+    monkeypatch.setattr(evaluate, "sinkhorn_divergence", lambda a, b, spark=None: given.append((len(a), len(b), spark)) or 0.0)
+    evaluate.sampled_sinkhorn(vectors(spark, x), vectors(spark, y))
+    assert given == [(160, 140, spark)]
